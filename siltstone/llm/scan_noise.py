@@ -70,16 +70,23 @@ def _mixed(word: str, lexicon: dict[str, int]) -> list[str] | None:
     return [w for w in (plain, word.translate(str.maketrans("0156892", "oisbbgz"))) if w in lexicon] or [plain]
 
 
-def misread_words(counts: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
-    """word, candidates (best first) of the words taken to be misread."""
-    spark = counts.sparkSession
+def frequent_words(counts: DataFrame, share: float = SHARE) -> dict[str, tuple[int, bool]]:
+    """Word to its count and whether it is written in lower case, for words that are at least `share` of all.
+
+    There are at most 1 / share of them, however much text there is.
+    """
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, total * share)
     # Names are rarely written in lower case; only those words that are much more frequent than any name are taken then.
     lower = (F.col("n_lower") >= least) & (F.col("n_lower") >= 0.2 * F.col("n"))
     common = lower | (F.col("n") >= total * NAME_SHARE)
-    frequent = {r.word: (r.n, r.lower) for r in counts.withColumn("lower", lower).where((F.col("n") >= least) & common & ~F.col("word").rlike(r"\p{N}") & (F.length("word") >= 3)).toLocalIterator()}  # at most 1 / share words
-    shared = spark.sparkContext.broadcast(frequent)
+    return {r.word: (r.n, r.lower) for r in counts.withColumn("lower", lower).where((F.col("n") >= least) & common & ~F.col("word").rlike(r"\p{N}") & (F.length("word") >= 3)).toLocalIterator()}
+
+
+def misread_words(counts: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
+    """word, candidates (best first) of the words taken to be misread."""
+    spark = counts.sparkSession
+    shared = spark.sparkContext.broadcast(frequent_words(counts, share))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = None
@@ -169,14 +176,14 @@ def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame) -> DataFrame:
     small = lambda l: F.length(F.regexp_replace(l, r"[^\p{Ll}]+", "")) <= 8
     able = lambda e: (F.length(e["line"]) <= LONGEST) & (small(e["line"]) | e["line"].rlike("(?i)vo[l1i]ume")) & ~F.contains(e["line"], F.lit("|"))
     edges = placed.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", F.explode(F.filter(F.concat(head, tail), able)).alias("e"))
-    return edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "e.depth", _parsed(F.col("e.line")).alias("p")).select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "depth", "p.*")
+    return edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "e.depth", "e.line", _parsed(F.col("e.line")).alias("p")).select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "depth", "line", "p.*")
 
 
 EXPLICIT = ["of", "page", "p", "box", "tilde", "dash"]
 
 
 def heads_and_labels(texts: DataFrame, archives: DataFrame) -> DataFrame:
-    """record_kind, row_id, defect for running heads, page labels and misread ones. texts in the consistent form."""
+    """record_kind, row_id, defect, line for running heads, page labels and misread ones. texts in the consistent form."""
     bad = site_lines.excessive_keys(texts, archives).groupBy("site").agg(F.collect_set("key_hash").alias("bad"))
     edges = cut_lineage(_edges(texts, bad, archives))
     pages = edges.where("record_kind = 'page'")
@@ -190,7 +197,7 @@ def heads_and_labels(texts: DataFrame, archives: DataFrame) -> DataFrame:
     sure = F.when(F.col("record_kind") == "block", (F.col("n_lines") == 1) & (explicit | F.col("fits"))).otherwise(F.col("fits") | (explicit & (F.col("depth") <= 1)))
     on_head = (F.length("head") > 0) & (explicit | F.col("fits"))
     labels = labelled.where(sure | on_head)
-    found = [labels.select("record_kind", "row_id", F.lit("page_number").alias("defect")), labels.where("misread").select("record_kind", "row_id", F.lit("misread").alias("defect"))]
+    found = [labels.select("record_kind", "row_id", F.lit("page_number").alias("defect"), "line"), labels.where("misread").select("record_kind", "row_id", F.lit("misread").alias("defect"), "line")]
 
     # Heads: the archive's title, and lines that recur at the edges of its pages but not in other archives.
     opening = texts.where("record_kind = 'page'").groupBy("archive_id").agg(F.min("page_number").alias("opening"))
@@ -206,8 +213,8 @@ def heads_and_labels(texts: DataFrame, archives: DataFrame) -> DataFrame:
     per_archive = all_forms.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("weight", "key")), asc=False).alias("forms"))  # at most pages / 2 forms, in fact one or two
     near = lambda f: F.levenshtein(f["key"], F.col("key")) <= F.greatest(F.lit(1), F.floor(F.length(f["key"]) * 0.15).cast("int"))
     matched = later.join(per_archive, "archive_id").withColumn("form_key", F.get(F.filter("forms", near), F.lit(0))["key"]).where("form_key is not null")
-    found += [matched.select("record_kind", "row_id", F.lit("running_head").alias("defect")), matched.where("form_key <> key").select("record_kind", "row_id", F.lit("misread").alias("defect"))]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
+    found += [matched.select("record_kind", "row_id", F.lit("running_head").alias("defect"), "line"), matched.where("form_key <> key").select("record_kind", "row_id", F.lit("misread").alias("defect"), "line")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 # ---- the operator ---------------------------------------------------------------------------------------------------
@@ -230,4 +237,109 @@ def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> Dat
     numbers = plain.where(F.col("text").rlike(NUMBER)).select("record_kind", "row_id", F.lit("misread").alias("defect"))
     tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(word_tokens(F.lower("text")))).alias("word"))
     words = tokens.join(misread.select("word"), "word", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    return broken.unionByName(numbers).unionByName(words).unionByName(heads_and_labels(plain, archives)).distinct()
+    return broken.unionByName(numbers).unionByName(words).unionByName(heads_and_labels(plain, archives).drop("line")).distinct()
+
+
+# ---- repair ---------------------------------------------------------------------------------------------------------
+
+_STARTS = re.compile(r"(?:\||[-o\u2022*] |\(\w{1,3}\) |\d+[.)] |\u00bb |>> |Chapter \d|\d+\.\d+ |(?:Table|Figure) \d+\.\d+\. )")
+_HEADING = re.compile(r"(?:Chapter \d|\d+\.\d+ )")
+_LETTERS = re.compile(r"[^\W\d_]+$"), re.compile(r"^[^\W\d_]+")
+_TOKEN = re.compile(r"\d*[^\W\d_](?:[^\W_])*")
+_NUMBER = re.compile(NUMBER.replace(r"\p{L}\p{N}", "A-Za-z0-9\u00c0-\u024f"))
+
+
+def join_words(first: str, sign: str, rest: str, frequent: dict) -> str:
+    """Put a word together that a line end breaks: a compound keeps its hyphen where both parts are words and the whole isn't."""
+    a, b = _LETTERS[0].search(first), _LETTERS[1].search(rest)
+    if not a or not b or sign != "-" or (a[0] + b[0]).lower() in frequent:
+        return first + rest
+    return f"{first}-{rest}" if a[0].lower() in frequent and b[0].lower() in frequent else first + rest
+
+
+def flowing(text: str, drop: set[str], frequent: dict) -> str:
+    """Text as continuous paragraphs, parted by blank lines, without the lines to drop.
+
+    A line goes on in the next one if it ends in a hyphen or if the next word didn't fit the width of the text.
+    """
+    lines = [line.strip() for line in text.split("\n")]
+    lines = [line for line in lines if line not in drop]
+    widths = sorted(len(line) for line in lines if len(line) >= 40)
+    width = widths[len(widths) * 3 // 4] if widths else 0
+    paragraphs: list[str] = []
+    now, last = "", ""
+    for line in lines:
+        broken = len(last) > 1 and last[-1] in "-\u00ac\u00ad" and last[-2].isalpha() and line[:1].isalpha()
+        goes_on = broken or (last and line and not _STARTS.match(line) and not _HEADING.match(last) and len(last) + 1 + len(line.split(" ", 1)[0]) > width - 2 and width)
+        if not goes_on:
+            if now:
+                paragraphs.append(now)
+            now = line
+        elif broken:
+            now = join_words(now[:-1], now[-1], line, frequent)
+        else:
+            now = f"{now} {line}"
+        last = line
+    if now:
+        paragraphs.append(now)
+    return "\n\n".join(paragraphs)
+
+
+def spelled(text: str, fixes: dict[str, list[str]], bigrams: dict[tuple[str, str], int]) -> str:
+    """Text with its misread words and numbers replaced; among several candidates the neighbouring words decide."""
+    found = list(_TOKEN.finditer(text))
+
+    def choose(i: int) -> str:
+        word = found[i][0]
+        options = fixes.get(word.lower())
+        if not options:
+            return word
+        best = options[0]
+        if len(options) > 1:
+            before, after = (found[j][0].lower() if 0 <= j < len(found) else "" for j in (i - 1, i + 1))
+            best = max(options, key=lambda w: (bigrams.get((before, w), 0) + bigrams.get((w, after), 0), -options.index(w)))
+        return best.upper() if sum(map(str.isupper, word)) > 1 and not any(map(str.islower, word)) else best.capitalize() if word[0].isupper() or (word[0].isdigit() and i and text[found[i].start() - 2 : found[i].start()] == ". ") else best
+
+    out, end = [], 0
+    for i, m in enumerate(found):
+        out += [text[end : m.start()], choose(i)]
+        end = m.end()
+    return _NUMBER.sub(lambda m: m[0].translate(str.maketrans("OIlSBZ", "011582")), "".join(out) + text[end:])
+
+
+def _bigrams(texts: DataFrame, misread: DataFrame, share: float) -> dict[tuple[str, str], int]:
+    """Counts of neighbouring words of which one is among several candidates. Those below `share` are left out, so at most 1 / share remain."""
+    wanted = misread.where(F.size("candidates") > 1).select(F.explode("candidates").alias("w")).distinct()
+    tokens = F.regexp_extract_all(F.lower(joined_lines(F.col("text"))), F.lit(r"\p{Nd}*+\p{L}[\p{L}\p{Nd}]*+"), F.lit(0))
+    pairs = texts.select(tokens.alias("t")).select(F.explode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b")
+    either = pairs.join(wanted, (F.col("a") == F.col("w")), "left_semi").unionByName(pairs.join(wanted, F.col("b") == F.col("w"), "left_semi"))
+    counted = either.groupBy("a", "b").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return {(r.a, r.b): r.n for r in counted.where(F.col("n") >= max(2, total * share)).toLocalIterator()}
+
+
+def repaired(texts: DataFrame, archives: DataFrame, more_texts: DataFrame, share: float = SHARE) -> DataFrame:
+    """record_kind, row_id, text: every text as continuous paragraphs, spelled correctly, without heads and page labels.
+
+    The lines of the site (problem 5) stay; a text that is only a head or a label becomes empty.
+    """
+    plain = in_form(texts)
+    everything = plain.select("text").unionByName(in_form(more_texts.select("text")))
+    counts = cut_lineage(word_counts(everything))
+    misread = cut_lineage(misread_words(counts, share))
+    shared = texts.sparkSession.sparkContext.broadcast((frequent_words(counts, share), _bigrams(everything, misread, share)))
+    tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(word_tokens(F.lower("text")))).alias("word"))
+    fixes = tokens.join(misread, "word").groupBy("record_kind", "row_id").agg(F.collect_list(F.struct("word", "candidates")).alias("fixes"))
+    drops = heads_and_labels(plain, archives).where("defect <> 'misread'").groupBy("record_kind", "row_id").agg(F.collect_set("line").alias("drops"))
+    joined = plain.select("record_kind", "row_id", "text").join(fixes, ["record_kind", "row_id"], "left").join(drops, ["record_kind", "row_id"], "left")
+
+    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent, bigrams = shared.value
+        for pdf in batches:
+            out = []
+            for text, fix, drop in zip(pdf["text"], pdf["fixes"], pdf["drops"]):
+                table = {f["word"]: list(f["candidates"]) for f in fix} if fix is not None else {}
+                out.append(spelled(flowing(text, set(drop) if drop is not None else set(), frequent), table, bigrams))
+            yield pd.DataFrame({"record_kind": pdf["record_kind"], "row_id": pdf["row_id"], "text": out})
+
+    return joined.mapInPandas(repair, "record_kind string, row_id bigint, text string")
