@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.session import cut_lineage
+
 # Characters without a visible shape.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\ufeff"
 # Spaces and hyphens other than the plain one.
@@ -132,6 +134,13 @@ def canonicalize(df: DataFrame, column: str = "text", into: str | None = None) -
     return df.withColumn(into or column, canonical(F.col(column)))
 
 
+def canonicalize_once(df: DataFrame, column: str = "text") -> DataFrame:
+    """As canonicalize, for a result that is read several times: rows that pass the quick check stay a plain scan, the
+    few others are normalised once and kept in the checkpoint folder."""
+    check = needs_check(F.col(column))
+    return df.where(~check).unionByName(cut_lineage(df.where(check).withColumn(column, _canonical(F.col(column)))))
+
+
 def unstable_rows(df: DataFrame, column: str = "text") -> DataFrame:
     """Rows whose text differs from its consistent form, with that form in `canonical_text`.
 

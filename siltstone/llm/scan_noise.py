@@ -26,14 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import site_lines
-from siltstone.llm.canonical import canonical
+from siltstone.llm.canonical import canonicalize_once
 from siltstone.llm.lexicon import SymmetricDeleteIndex, ranked
 from siltstone.session import cut_lineage
 
 RATIO, SHARE, NAME_SHARE, LEAST_COUNT = 10.0, 1e-5, 1e-3, 5
 BROKEN = r"\p{L}[-\x{ac}\x{ad}\x{2010}\x{2011}][ \t]*\n[ \t]*\p{L}"
 NUMBER = r"(?<![\p{L}\p{N}])(?=[0-9OIlSBZ.,]*[0-9])(?=[0-9.,]*[OIlSBZ])[0-9OIlSBZ]+(?:[.,][0-9OIlSBZ]+)*(?![\p{L}\p{N}])"
-EDGE, LONGEST = 4, 90
+#: A word with letters and digits that isn't a number with its unit.
+MIXED = (
+    r"(?i)(?<![\p{L}\p{Nd}])(?!\p{Nd}+(?:st|nd|rd|th|m|mm|cm|km|ft|kg|in|x|h|a)(?![\p{L}\p{Nd}]))(?:\p{Nd}++\p{L}|\p{L}++\p{Nd})"
+)
+EDGE, LONGEST, LOWER = 4, 90, 8
+#: What either of them needs, cheap to look for.
+ODD = r"[0-9]\p{L}|\p{L}[0-9]|[OIlSBZ][.,][0-9]"
+#: A text with a line that may be a head or a label: few lower-case letters and no cell of a table.
+EDGE_LINE = rf"(?m)^(?![|\n]|$)(?:[^\p{{Ll}}\n]*+\p{{Ll}}){{0,{LOWER}}}+[^\p{{Ll}}\n]*+$"
 
 
 # ---- words ----------------------------------------------------------------------------------------------------------
@@ -164,7 +172,8 @@ def head_key(text: Column) -> Column:
 def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame) -> DataFrame:
     """record_kind, row_id, archive_id, page_number, n_lines, depth (0 outermost), head, form, number, misread of lines at
     the top and bottom, without blank lines and the site's own."""
-    owned = texts.join(site_lines.sites(archives), "archive_id", "left").join(F.broadcast(bad), "site", "left")
+    likely = texts.where(F.col("text").rlike(EDGE_LINE) | F.contains("text", F.lit(" - ")))  # "Name - Design volume"
+    owned = likely.join(site_lines.sites(archives), "archive_id", "left").join(F.broadcast(bad), "site", "left")
     flagged = owned.select("record_kind", "row_id", "archive_id", "page_number", "bad", F.filter(F.split("text", "\n", -1), lambda l: F.trim(l) != "").alias("lines"))
     hashed = lambda l: F.xxhash64(site_lines.line_key(l))
     kept = flagged.withColumn("lines", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda l: ~F.array_contains(F.col("bad"), hashed(l)))))
@@ -173,8 +182,7 @@ def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame) -> DataFrame:
     head = F.transform(F.slice("lines", 1, EDGE), lambda l, i: F.struct(F.least(i, F.col("n_lines") - 1 - i).alias("depth"), F.trim(l).alias("line")))
     tail_at = F.greatest(F.col("n_lines") - EDGE, F.lit(EDGE))
     tail = F.when(F.col("n_lines") > EDGE, F.transform(F.slice("lines", tail_at + 1, F.col("n_lines") - tail_at), lambda l, i: F.struct((F.col("n_lines") - 1 - tail_at - i).alias("depth"), F.trim(l).alias("line")))).otherwise(F.array().cast("array<struct<depth:int,line:string>>"))
-    small = lambda l: F.length(F.regexp_replace(l, r"[^\p{Ll}]+", "")) <= 8
-    able = lambda e: (F.length(e["line"]) <= LONGEST) & (small(e["line"]) | e["line"].rlike("(?i)vo[l1i]ume")) & ~F.contains(e["line"], F.lit("|"))
+    able = lambda e: (F.length(e["line"]) <= LONGEST) & (e["line"].rlike(EDGE_LINE) | F.contains(e["line"], F.lit(" - "))) & ~F.contains(e["line"], F.lit("|"))
     edges = placed.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", F.explode(F.filter(F.concat(head, tail), able)).alias("e"))
     return edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "e.depth", "e.line", _parsed(F.col("e.line")).alias("p")).select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "depth", "line", "p.*")
 
@@ -182,9 +190,12 @@ def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame) -> DataFrame:
 EXPLICIT = ["of", "page", "p", "box", "tilde", "dash"]
 
 
-def heads_and_labels(texts: DataFrame, archives: DataFrame) -> DataFrame:
-    """record_kind, row_id, defect, line for running heads, page labels and misread ones. texts in the consistent form."""
-    bad = site_lines.excessive_keys(texts, archives).groupBy("site").agg(F.collect_set("key_hash").alias("bad"))
+def heads_and_labels(texts: DataFrame, archives: DataFrame, stored: DataFrame) -> DataFrame:
+    """record_kind, row_id, defect, line for running heads, page labels and misread ones.
+
+    texts: in the consistent form; stored: as they are stored, for the lines of the sites.
+    """
+    bad = site_lines.excessive_keys(stored, archives).groupBy("site").agg(F.collect_set("key_hash").alias("bad"))
     edges = cut_lineage(_edges(texts, bad, archives))
     pages = edges.where("record_kind = 'page'")
 
@@ -221,7 +232,7 @@ def heads_and_labels(texts: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def in_form(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("text", canonical(F.col("text")))
+    return canonicalize_once(texts)
 
 
 def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> DataFrame:
@@ -234,10 +245,12 @@ def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> Dat
     plain = in_form(texts)
     counts = cut_lineage(word_counts(plain.select("text").unionByName(in_form(more_texts.select("text")))))
     misread = cut_lineage(misread_words(counts))
-    numbers = plain.where(F.col("text").rlike(NUMBER)).select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(word_tokens(F.lower("text")))).alias("word"))
-    words = tokens.join(misread.select("word"), "word", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    return broken.unionByName(numbers).unionByName(words).unionByName(heads_and_labels(plain, archives).drop("line")).distinct()
+    numbers = plain.where(F.col("text").rlike(ODD) & (F.col("text").rlike(NUMBER) | F.col("text").rlike(MIXED))).select("record_kind", "row_id", F.lit("misread").alias("defect"))
+    # Misread words without digits are spellings of frequent words up to two confusions, hence bounded by the lexicon.
+    letters = misread.where(~F.col("word").rlike(r"\p{Nd}")).select("word")
+    tokens = plain.select("record_kind", "row_id", F.explode(F.regexp_extract_all(F.lower(joined_lines(F.col("text"))), F.lit(r"\p{L}{3,}+"), F.lit(0))).alias("word"))
+    words = tokens.join(F.broadcast(letters), "word", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
+    return broken.unionByName(numbers).unionByName(words).unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
 
 
 # ---- repair ---------------------------------------------------------------------------------------------------------
@@ -330,7 +343,7 @@ def repaired(texts: DataFrame, archives: DataFrame, more_texts: DataFrame, share
     shared = texts.sparkSession.sparkContext.broadcast((frequent_words(counts, share), _bigrams(everything, misread, share)))
     tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(word_tokens(F.lower("text")))).alias("word"))
     fixes = tokens.join(misread, "word").groupBy("record_kind", "row_id").agg(F.collect_list(F.struct("word", "candidates")).alias("fixes"))
-    drops = heads_and_labels(plain, archives).where("defect <> 'misread'").groupBy("record_kind", "row_id").agg(F.collect_set("line").alias("drops"))
+    drops = heads_and_labels(plain, archives, texts).where("defect <> 'misread'").groupBy("record_kind", "row_id").agg(F.collect_set("line").alias("drops"))
     joined = plain.select("record_kind", "row_id", "text").join(fixes, ["record_kind", "row_id"], "left").join(drops, ["record_kind", "row_id"], "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
