@@ -39,7 +39,7 @@ MIXED = (
 )
 EDGE, LONGEST, LOWER = 4, 90, 8
 #: What either of them needs, cheap to look for.
-ODD = r"[0-9]\p{L}|\p{L}[0-9]|[OIlSBZ][.,][0-9]"
+ODD = r"[0-9]\p{L}|\p{L}[0-9]|[OIlSBZ][.,][0-9]|[0-9][.,][OIlSBZ]"
 #: A text with a line that may be a head or a label: few lower-case letters and no cell of a table.
 EDGE_LINE = rf"(?m)^(?![|\n]|$)(?:[^\p{{Ll}}\n]*+\p{{Ll}}){{0,{LOWER}}}+[^\p{{Ll}}\n]*+$"
 
@@ -106,7 +106,7 @@ def misread_words(counts: DataFrame, share: float = SHARE, ratio: float = RATIO)
                 if own:
                     words.append(word)
                     found.append(own)
-            yield pd.DataFrame({"word": words, "candidates": found})
+            yield pd.DataFrame({"word": pd.Series(words, dtype=object), "candidates": pd.Series(found, dtype=object)})
 
     return counts.where(F.col("word").rlike("^.{2,40}$")).mapInPandas(look_up, "word string, candidates array<string>")
 
