@@ -49,7 +49,7 @@ EDGE_LINE = rf"(?m)^(?![|\n]|$)(?:[^\p{{Ll}}\n]*+\p{{Ll}}){{0,{LOWER}}}+[^\p{{Ll
 
 def joined_lines(text: Column) -> Column:
     """Text with the words that a line end breaks put together."""
-    return F.regexp_replace(text, r"(\p{L})[-\x{ac}\x{ad}][ \t]*\n[ \t]*(\p{L})", "$1$2")
+    return F.when(text.rlike(BROKEN), F.regexp_replace(text, r"(\p{L})[-\x{ac}\x{ad}][ \t]*\n[ \t]*(\p{L})", "$1$2")).otherwise(text)
 
 
 def word_tokens(text: Column) -> Column:
