@@ -52,23 +52,33 @@ def joined_lines(text: Column) -> Column:
     return F.when(text.rlike(BROKEN), F.regexp_replace(text, r"(\p{L})[-\x{ac}\x{ad}][ \t]*\n[ \t]*(\p{L})", "$1$2")).otherwise(text)
 
 
-def word_tokens(text: Column) -> Column:
-    """Runs of letters and digits with a letter."""
-    return F.regexp_extract_all(joined_lines(text), F.lit(r"\p{Nd}*+\p{L}[\p{L}\p{Nd}]*+"), F.lit(0))
+#: Words of letters, put together over line ends; those of one or two letters only count as the start of a broken word.
+_SIGN = r"[-\x{ac}\x{ad}][ \t]*+\n[ \t]*+"
+WORD = rf"(?:\p{{L}}{{3,}}+|\p{{L}}{{1,2}}+(?={_SIGN}\p{{L}}))(?:{_SIGN}\p{{L}}++)*+"
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (lower-cased), n, n_lower (how often it is written so) over all texts."""
-    spelled = texts.select(F.explode(word_tokens(F.col("text"))).alias("spelled")).groupBy("spelled").agg(F.count("*").alias("k"))
-    word = F.lower("spelled")
-    return spelled.groupBy(word.alias("word")).agg(F.sum("k").alias("n"), F.sum(F.when(word == F.col("spelled"), F.col("k")).otherwise(0)).alias("n_lower"))
+def spellings(texts: DataFrame) -> DataFrame:
+    """spelled, k: words as they stand in the texts (a broken one with its break) and their counts."""
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("spelled")).groupBy("spelled").agg(F.count("*").alias("k"))
+
+
+def word_of(spelled: Column) -> Column:
+    """The word of a spelling: put together and lower-cased."""
+    return F.lower(F.when(F.contains(spelled, F.lit("\n")), F.regexp_replace(spelled, _SIGN, "")).otherwise(spelled))
+
+
+def word_counts(spelled: DataFrame) -> DataFrame:
+    """word, n, n_lower (how often it is written in lower case) from spellings."""
+    whole = F.when(F.contains("spelled", F.lit("\n")), F.regexp_replace("spelled", _SIGN, "")).otherwise(F.col("spelled"))
+    words = spelled.select(whole.alias("whole"), "k").withColumn("word", F.lower("whole"))
+    return words.groupBy("word").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("word") == F.col("whole"), F.col("k")).otherwise(0)).alias("n_lower"))
 
 
 _AS_LETTER = str.maketrans("0156892", "olsbbgz")
 _AS_DIGIT = set("oilsbzgq")
 
 
-def _mixed(word: str, lexicon: dict[str, int]) -> list[str] | None:
+def _mixed(word: str, lexicon: dict) -> list[str] | None:
     """Candidates of a word with letters and digits; None if it is no misread one (4th, 10m)."""
     if re.fullmatch(r"\d+(st|nd|rd|th|m|mm|cm|km|ft|kg|in|x|h|a)", word):
         return None
@@ -88,7 +98,7 @@ def frequent_words(counts: DataFrame, share: float = SHARE) -> dict[str, tuple[i
     # Names are rarely written in lower case; only those words that are much more frequent than any name are taken then.
     lower = (F.col("n_lower") >= least) & (F.col("n_lower") >= 0.2 * F.col("n"))
     common = lower | (F.col("n") >= total * NAME_SHARE)
-    return {r.word: (r.n, r.lower) for r in counts.withColumn("lower", lower).where((F.col("n") >= least) & common & ~F.col("word").rlike(r"\p{N}") & (F.length("word") >= 3)).toLocalIterator()}
+    return {r.word: (r.n, r.lower) for r in counts.withColumn("lower", lower).where((F.col("n") >= least) & common & (F.length("word") >= 3)).toLocalIterator()}
 
 
 def misread_words(counts: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
@@ -102,13 +112,13 @@ def misread_words(counts: DataFrame, share: float = SHARE, ratio: float = RATIO)
             index = index or SymmetricDeleteIndex(shared.value)
             words, found = [], []
             for word, n, n_lower in zip(pdf["word"], pdf["n"], pdf["n_lower"]):
-                own = _mixed(word, index.count) if any(map(str.isdigit, word)) else ranked(index, word, n, ratio, 2 * n_lower < n) if len(word) >= 3 else None
+                own = ranked(index, word, n, ratio, 2 * n_lower < n)
                 if own:
                     words.append(word)
                     found.append(own)
             yield pd.DataFrame({"word": pd.Series(words, dtype=object), "candidates": pd.Series(found, dtype=object)})
 
-    return counts.where(F.col("word").rlike("^.{2,40}$")).mapInPandas(look_up, "word string, candidates array<string>")
+    return counts.where(F.length("word").between(3, 40)).mapInPandas(look_up, "word string, candidates array<string>")
 
 
 # ---- edges of pages -------------------------------------------------------------------------------------------------
@@ -241,16 +251,20 @@ def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> Dat
     texts: record_kind, row_id, archive_id, page_number, text of pages and blocks; more_texts: further texts (`text`)
     that count for the lexicon.
     """
-    broken = texts.where(F.col("text").rlike(BROKEN)).select("record_kind", "row_id", F.lit("hyphenation").alias("defect"))
     plain = in_form(texts)
-    counts = cut_lineage(word_counts(plain.select("text").unionByName(in_form(more_texts.select("text")))))
-    misread = cut_lineage(misread_words(counts))
-    numbers = plain.where(F.col("text").rlike(ODD) & (F.col("text").rlike(NUMBER) | F.col("text").rlike(MIXED))).select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    # Misread words without digits are spellings of frequent words up to two confusions, hence bounded by the lexicon.
-    letters = misread.where(~F.col("word").rlike(r"\p{Nd}")).select("word")
-    tokens = plain.select("record_kind", "row_id", F.explode(F.regexp_extract_all(F.lower(joined_lines(F.col("text"))), F.lit(r"\p{L}{3,}+"), F.lit(0))).alias("word"))
-    words = tokens.join(F.broadcast(letters), "word", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    return broken.unionByName(numbers).unionByName(words).unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
+    spelled = cut_lineage(spellings(plain.select("text").unionByName(in_form(more_texts.select("text")))))
+    misread = misread_words(cut_lineage(word_counts(spelled)))
+    # Soft hyphens are not in the consistent form, so what they break is looked for in the stored text.
+    soft = texts.where(F.contains("text", F.lit("\u00ad")) & F.col("text").rlike(BROKEN)).select("record_kind", "row_id", F.lit("hyphenation").alias("defect"))
+    number = F.col("text").rlike(ODD) & (F.col("text").rlike(NUMBER) | F.col("text").rlike(MIXED))
+    flags = F.array(F.when(F.col("text").rlike(BROKEN), F.lit("hyphenation")), F.when(number, F.lit("misread")))
+    seen = plain.select("record_kind", "row_id", F.explode(flags).alias("defect")).where("defect is not null")
+    # Misread words are spellings of frequent words with up to two confusions, hence bounded by the lexicon.
+    bad = spelled.select("spelled", word_of(F.col("spelled")).alias("word")).join(F.broadcast(misread.select("word")), "word", "left_semi").select("spelled")
+    tokens = plain.select("record_kind", "row_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("spelled"))
+    words = tokens.join(F.broadcast(bad), "spelled", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
+    return soft.unionByName(seen).unionByName(words).unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
+
 
 
 # ---- repair ---------------------------------------------------------------------------------------------------------
@@ -298,13 +312,13 @@ def flowing(text: str, drop: set[str], frequent: dict) -> str:
     return "\n\n".join(paragraphs)
 
 
-def spelled(text: str, fixes: dict[str, list[str]], bigrams: dict[tuple[str, str], int]) -> str:
+def respelled(text: str, fixes: dict[str, list[str]], bigrams: dict[tuple[str, str], int], frequent: dict) -> str:
     """Text with its misread words and numbers replaced; among several candidates the neighbouring words decide."""
     found = list(_TOKEN.finditer(text))
 
     def choose(i: int) -> str:
         word = found[i][0]
-        options = fixes.get(word.lower())
+        options = _mixed(word.lower(), frequent) if any(map(str.isdigit, word)) else fixes.get(word.lower())
         if not options:
             return word
         best = options[0]
@@ -338,11 +352,13 @@ def repaired(texts: DataFrame, archives: DataFrame, more_texts: DataFrame, share
     """
     plain = in_form(texts)
     everything = plain.select("text").unionByName(in_form(more_texts.select("text")))
-    counts = cut_lineage(word_counts(everything))
+    spelled = cut_lineage(spellings(everything))
+    counts = cut_lineage(word_counts(spelled))
     misread = cut_lineage(misread_words(counts, share))
     shared = texts.sparkSession.sparkContext.broadcast((frequent_words(counts, share), _bigrams(everything, misread, share)))
-    tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(word_tokens(F.lower("text")))).alias("word"))
-    fixes = tokens.join(misread, "word").groupBy("record_kind", "row_id").agg(F.collect_list(F.struct("word", "candidates")).alias("fixes"))
+    bad = spelled.select("spelled", word_of(F.col("spelled")).alias("word")).join(F.broadcast(misread), "word")
+    tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("spelled"))
+    fixes = tokens.join(F.broadcast(bad), "spelled").groupBy("record_kind", "row_id").agg(F.collect_list(F.struct("word", "candidates")).alias("fixes"))
     drops = heads_and_labels(plain, archives, texts).where("defect <> 'misread'").groupBy("record_kind", "row_id").agg(F.collect_set("line").alias("drops"))
     joined = plain.select("record_kind", "row_id", "text").join(fixes, ["record_kind", "row_id"], "left").join(drops, ["record_kind", "row_id"], "left")
 
@@ -352,7 +368,7 @@ def repaired(texts: DataFrame, archives: DataFrame, more_texts: DataFrame, share
             out = []
             for text, fix, drop in zip(pdf["text"], pdf["fixes"], pdf["drops"]):
                 table = {f["word"]: list(f["candidates"]) for f in fix} if fix is not None else {}
-                out.append(spelled(flowing(text, set(drop) if drop is not None else set(), frequent), table, bigrams))
+                out.append(respelled(flowing(text, set(drop) if drop is not None else set(), frequent), table, bigrams, frequent))
             yield pd.DataFrame({"record_kind": pdf["record_kind"], "row_id": pdf["row_id"], "text": out})
 
     return joined.mapInPandas(repair, "record_kind string, row_id bigint, text string")
