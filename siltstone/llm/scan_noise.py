@@ -31,7 +31,7 @@ from siltstone.llm.lexicon import SymmetricDeleteIndex, ranked
 from siltstone.session import cut_lineage
 
 RATIO, SHARE, NAME_SHARE, LEAST_COUNT = 10.0, 1e-5, 1e-3, 5
-BROKEN = r"\p{L}[-\x{ac}\x{ad}\x{2010}\x{2011}][ \t]*\n[ \t]*\p{L}"
+BROKEN = r"\n(?<=\p{L}[-\x{ac}\x{ad}\x{2010}\x{2011}][ \t]{0,9}\n)[ \t]*\p{L}"
 NUMBER = r"(?<![\p{L}\p{N}])(?=[0-9OIlSBZ.,]*[0-9])(?=[0-9.,]*[OIlSBZ])[0-9OIlSBZ]+(?:[.,][0-9OIlSBZ]+)*(?![\p{L}\p{N}])"
 #: A word with letters and digits that isn't a number with its unit.
 MIXED = (
@@ -39,7 +39,7 @@ MIXED = (
 )
 EDGE, LONGEST, LOWER = 4, 90, 8
 #: What either of them needs, cheap to look for.
-ODD = r"[0-9]\p{L}|\p{L}[0-9]|[OIlSBZ][.,][0-9]|[0-9][.,][OIlSBZ]"
+ODD = r"[0-9](?:\p{L}|(?<=\p{L}.)|(?<=[OIlSBZ][.,].)|[.,][OIlSBZ])"
 #: A text with a line that may be a head or a label: few lower-case letters and no cell of a table.
 EDGE_LINE = rf"(?m)^(?![|\n]|$)(?:[^\p{{Ll}}\n]*+\p{{Ll}}){{0,{LOWER}}}+[^\p{{Ll}}\n]*+$"
 
@@ -251,19 +251,18 @@ def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> Dat
     texts: record_kind, row_id, archive_id, page_number, text of pages and blocks; more_texts: further texts (`text`)
     that count for the lexicon.
     """
-    plain = in_form(texts)
+    # Soft hyphens are not in the consistent form: what they break is seen in the text as it is stored.
+    plain = in_form(texts.withColumn("broken", F.col("text").rlike(BROKEN)))
     spelled = cut_lineage(spellings(plain.select("text").unionByName(in_form(more_texts.select("text")))))
     misread = misread_words(cut_lineage(word_counts(spelled)))
-    # Soft hyphens are not in the consistent form, so what they break is looked for in the stored text.
-    soft = texts.where(F.contains("text", F.lit("\u00ad")) & F.col("text").rlike(BROKEN)).select("record_kind", "row_id", F.lit("hyphenation").alias("defect"))
     number = F.col("text").rlike(ODD) & (F.col("text").rlike(NUMBER) | F.col("text").rlike(MIXED))
-    flags = F.array(F.when(F.col("text").rlike(BROKEN), F.lit("hyphenation")), F.when(number, F.lit("misread")))
+    flags = F.array(F.when(F.col("broken"), F.lit("hyphenation")), F.when(number, F.lit("misread")))
     seen = plain.select("record_kind", "row_id", F.explode(flags).alias("defect")).where("defect is not null")
     # Misread words are spellings of frequent words with up to two confusions, hence bounded by the lexicon.
     bad = spelled.select("spelled", word_of(F.col("spelled")).alias("word")).join(F.broadcast(misread.select("word")), "word", "left_semi").select("spelled")
     tokens = plain.select("record_kind", "row_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("spelled"))
     words = tokens.join(F.broadcast(bad), "spelled", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    return soft.unionByName(seen).unionByName(words).unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
+    return seen.unionByName(words).unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
 
 
 
