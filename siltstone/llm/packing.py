@@ -64,8 +64,8 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[list[
 
 
 def document_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, n_tokens of every row."""
-    return documents.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens"))
+    """doc_id, source, n_tokens of every row. Kept, since it is read several times and tokenizing is what costs."""
+    return cut_lineage(documents.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")))
 
 
 def _pieces(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
