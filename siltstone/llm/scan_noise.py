@@ -256,13 +256,14 @@ def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> Dat
     spelled = cut_lineage(spellings(plain.select("text").unionByName(in_form(more_texts.select("text")))))
     misread = misread_words(cut_lineage(word_counts(spelled)))
     number = F.col("text").rlike(ODD) & (F.col("text").rlike(NUMBER) | F.col("text").rlike(MIXED))
-    flags = F.array(F.when(F.col("broken"), F.lit("hyphenation")), F.when(number, F.lit("misread")))
-    seen = plain.select("record_kind", "row_id", F.explode(flags).alias("defect")).where("defect is not null")
+    # One pass over the texts: their words, and a marker for what a pattern found, meet the misread words and the markers.
     # Misread words are spellings of frequent words with up to two confusions, hence bounded by the lexicon.
-    bad = spelled.select("spelled", word_of(F.col("spelled")).alias("word")).join(F.broadcast(misread.select("word")), "word", "left_semi").select("spelled")
-    tokens = plain.select("record_kind", "row_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("spelled"))
-    words = tokens.join(F.broadcast(bad), "spelled", "left_semi").select("record_kind", "row_id", F.lit("misread").alias("defect"))
-    return seen.unionByName(words).unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
+    flags = F.filter(F.array(F.when(F.col("broken"), F.lit("\u0000hyphenation")), F.when(number, F.lit("\u0000misread"))), lambda f: f.isNotNull())
+    bad = spelled.select("spelled", word_of(F.col("spelled")).alias("word")).join(F.broadcast(misread.select("word")), "word", "left_semi").select("spelled", F.lit("misread").alias("defect"))
+    marks = texts.sparkSession.createDataFrame([("\u0000hyphenation", "hyphenation"), ("\u0000misread", "misread")], "spelled string, defect string")
+    tokens = plain.select("record_kind", "row_id", F.explode(F.concat(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), flags)).alias("spelled"))
+    words = tokens.join(F.broadcast(bad.unionByName(marks)), "spelled").select("record_kind", "row_id", "defect")
+    return words.unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
 
 
 
