@@ -368,7 +368,10 @@ def repaired(texts: DataFrame, archives: DataFrame, more_texts: DataFrame, share
             out = []
             for text, fix, drop in zip(pdf["text"], pdf["fixes"], pdf["drops"]):
                 table = {f["word"]: list(f["candidates"]) for f in fix} if fix is not None else {}
+                if text is None:
+                    out.append(None)
+                    continue
                 out.append(respelled(flowing(text, set(drop) if drop is not None else set(), frequent), table, bigrams, frequent))
-            yield pd.DataFrame({"record_kind": pdf["record_kind"], "row_id": pdf["row_id"], "text": out})
+            yield pd.DataFrame({"record_kind": pdf["record_kind"], "row_id": pdf["row_id"], "text": pd.Series(out, dtype=object, index=pdf.index)})
 
     return joined.mapInPandas(repair, "record_kind string, row_id bigint, text string")
