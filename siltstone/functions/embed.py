@@ -70,7 +70,7 @@ def get_embedder(model: str, **options) -> Embedder:
 
 def _sha256_bucket(word: Column, dimension: int) -> Column:
     digest = F.sha2(word, 256)
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2 == 1, 1).otherwise(-1)
+    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2 == 1, -1).otherwise(1)
     return F.struct((F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimension).cast("int").alias("bucket"), sign.alias("sign"))
 
 
@@ -80,7 +80,7 @@ _BUCKET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField(
 def _blake2b_bucket(word: Column, dimension: int) -> Column:
     def of(words: pd.Series) -> pd.DataFrame:
         digests = [hashlib.blake2b(w.encode(), digest_size=8).digest() for w in words]
-        return pd.DataFrame({"bucket": [int.from_bytes(d[:4], "little") % dimension for d in digests], "sign": [1 if d[4] & 1 else -1 for d in digests]}).astype("int32")
+        return pd.DataFrame({"bucket": [int.from_bytes(d[:4], "little") % dimension for d in digests], "sign": [-1 if d[4] & 1 else 1 for d in digests]}).astype("int32")
 
     return F.pandas_udf(of, _BUCKET)(word)
 

@@ -39,17 +39,10 @@ def parse(query: str | None) -> tuple[list[dict], str] | None:
     def peek() -> str:
         return parts[pos][0] if pos < len(parts) else ""
 
-    def atom():
+    def phrase():
         nonlocal pos
         initial = peek() == "^"
         pos += initial
-        if peek() == "(" and not initial:
-            pos += 1
-            out = either()
-            if peek() != ")":
-                raise SyntaxError
-            pos += 1
-            return out
         if peek() != "phrase":
             raise SyntaxError
         tokens = _tokens(parts[pos][1])
@@ -61,6 +54,21 @@ def parse(query: str | None) -> tuple[list[dict], str] | None:
         phrases.append({"tokens": tokens, "prefix": prefix, "initial": initial})
         return len(phrases) - 1
 
+    def atom():
+        """A parenthesis, or phrases side by side: all of them, before any operator applies."""
+        nonlocal pos
+        if peek() == "(":
+            pos += 1
+            out = either()
+            if peek() != ")":
+                raise SyntaxError
+            pos += 1
+            return out
+        out = [phrase()]
+        while peek() in ("phrase", "^"):
+            out.append(phrase())
+        return out[0] if len(out) == 1 else ["and", *out]
+
     def unlike():
         nonlocal pos
         out = atom()
@@ -72,8 +80,8 @@ def parse(query: str | None) -> tuple[list[dict], str] | None:
     def both():
         nonlocal pos
         out = [unlike()]
-        while peek() in ("AND", "phrase", "(", "^"):
-            pos += peek() == "AND"
+        while peek() == "AND":
+            pos += 1
             out.append(unlike())
         return out[0] if len(out) == 1 else ["and", *out]
 

@@ -115,7 +115,7 @@ def keyword_index_fields(spark, d):
     return top.select("query_id", "id", "rank", F.round(keyword.index_score(F.col("score")), 6).alias("score"))
 
 
-EXPRESSIONS = [(1, '"shall be removed" OR "grading sheet"'), (2, "drain* NOT curb"), (3, "^the outlet"), (4, "(basin OR culvert) permit"), (5, "when is it required?"), (6, "4.2"), (7, '"lineal feet" hearing')]
+EXPRESSIONS = [(1, '"shall be removed" OR "grading sheet"'), (2, "drain* NOT curb"), (3, "^the outlet"), (4, "(basin OR culvert) AND permit"), (5, "when is it required?"), (6, "4.2"), (7, '"lineal feet" hearing')]
 
 
 @query()
@@ -166,7 +166,7 @@ def l2_check(spark, d):
 _HASHED = """
 words AS (SELECT {g}id, word, count(*) AS tf FROM (SELECT {g}id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM docs) GROUP BY ALL),
 qwords AS (SELECT {g}query_id, word, count(*) AS tf FROM (SELECT {g}query_id, unnest(regexp_extract_all(lower(query_text), '[a-z0-9_]+')) AS word FROM qs) GROUP BY ALL),
-voc AS (SELECT word, CAST(concat('0x', substr(sha256(word), 1, 8)) AS BIGINT) % 384 AS bucket, CASE WHEN CAST(concat('0x', substr(sha256(word), 9, 2)) AS BIGINT) % 2 = 1 THEN 1 ELSE -1 END AS s
+voc AS (SELECT word, CAST(concat('0x', substr(sha256(word), 1, 8)) AS BIGINT) % 384 AS bucket, CASE WHEN CAST(concat('0x', substr(sha256(word), 9, 2)) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END AS s
         FROM (SELECT word FROM words UNION SELECT word FROM qwords)),
 dv AS (SELECT {g}id, bucket, sum(tf * s) AS v FROM words JOIN voc USING (word) GROUP BY ALL HAVING sum(tf * s) <> 0),
 qv AS (SELECT {g}query_id, bucket, sum(tf * s) AS v FROM qwords JOIN voc USING (word) GROUP BY ALL HAVING sum(tf * s) <> 0),
