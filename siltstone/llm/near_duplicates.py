@@ -1,15 +1,23 @@
 """Problem 3: near-duplicate texts, from bottom-k sketches of their word shingles.
 
-One hash function turns a text's distinct shingles into numbers; the k least are its sketch. Inverted lists hold the
-retained values two neighbours at a time: texts that share most of their shingles share most of their neighbours in hash
-order, while a phrase that is common to many texts rarely has the same neighbour twice. In each text the few most common
-keys (`slack` of them) are left out of the lists, which a pair that shares more than `slack` keys can't notice. Pairs
-from the lists are weighed by the union of their two sketches, and what may reach the threshold is verified on all
-shingles exactly.
+One hash function turns a text's distinct shingles into numbers; the k least are its sketch. Inverted lists hold runs of
+neighbouring retained values: texts that share most of their shingles share most of their neighbours in hash order,
+while phrases that are common to many texts rarely have the same neighbours twice. Texts from WHOLE_RUNS shingles on are
+listed under runs of three values, shorter ones under runs of two, those below PAIR_RUNS under single values; a text is
+also listed in the way of the shortest text it may resemble.
 
-For a pair of similarity s, each of the about k neighbours in the union is shared with probability about s * s, so with
-k = 64 a pair at s = 0.6 shares 23 of them (six standard deviations above `slack`); a text with at most k shingles is
-its own sketch. The union estimate has a standard deviation of sqrt(s(1-s)/k) = 0.06; the margin is four of them.
+Lists give overlap counts. `least_shared` says how many keys two texts at the threshold share at the least; each text
+therefore leaves out all but SHARED of that number of its most common keys (any two such texts still meet SHARED times),
+and a pair counts as a candidate only if it meets that often. Candidates are weighed by the union of their two sketches,
+and what may reach the threshold is verified on all shingles exactly.
+
+Guarantees, for a pair at the threshold 0.6 exactly (more similar pairs share more): single values and runs of two are
+counted on whole texts, where the bound always holds; runs of three fall short of it with a probability of at most
+2.4e-4 (k = 96, by simulation: mean 20, bound 4). The union estimate has a standard deviation of sqrt(s(1-s)/k) = 0.05;
+the margin is five of them. Thresholds below 0.6 are refused, since these bounds don't hold there.
+
+Long lists are cut into parts of SALT texts that meet the whole list in tasks of their own. Joins on growing sides never
+broadcast. Shingles are only kept for texts that have a candidate; all others are known by their sketches.
 
 Texts that agree in all words are one class first, and only class representatives are compared; classes and links come
 out together, copies need not be expanded.
@@ -22,13 +30,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.canonical import canonical
 from siltstone.session import cut_lineage
 
-SHINGLE, THRESHOLD, SKETCH, SLACK, MARGIN = 5, 0.8, 64, 6, 0.25
+SHINGLE, THRESHOLD, SKETCH, MARGIN = 5, 0.8, 96, 0.25
+PAIR_RUNS, WHOLE_RUNS, SHARED, SALT = 24, 48, 2, 1024
 
 
 def words(text: Column) -> Column:
@@ -40,63 +49,105 @@ def shingle_hashes(tokens: Column, width: int) -> Column:
     """Sorted distinct hashes of all sequences of `width` consecutive words."""
     at = lambda i: [F.get(tokens, i + j) for j in range(width)]
     count = F.size(tokens) - width + 1
-    return F.when(count > 0, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*at(i)))))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count > 0, F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*at(i)))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two growing sides: sizes are hard to estimate after checkpoints, so it never becomes a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _tokens(df: DataFrame, id_column: str) -> DataFrame:
+    texts = df.where(F.col("text").isNotNull()).select(F.col(id_column).alias("id"), canonical(F.col("text")).alias("text"))
+    return texts.select("id", words(F.col("text")).alias("tokens"))
 
 
 def sketches(df: DataFrame, id_column: str, shingle: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(id, class_id) for every row with text, (class_id, shingles, sketch) for every class with a shingle."""
-    tokens = df.where(F.col("text").isNotNull()).select(F.col(id_column).alias("id"), canonical(F.col("text")).alias("text")).select("id", words(F.col("text")).alias("tokens"))
-    tokens = tokens.where(F.size("tokens") >= shingle)
+    """(id, class_id) for every row with a shingle, (id, n, sketch) for the same rows; n is the number of shingles."""
+    tokens = _tokens(df, id_column)
     # Equal word sequences are one class. 128 bits of hash keep unequal ones apart.
-    hashed = cut_lineage(tokens.select("id", F.struct(F.xxhash64("tokens").alias("a"), F.md5(F.array_join("tokens", " ")).substr(1, 16).alias("b")).alias("same"), shingle_hashes(F.col("tokens"), shingle).alias("shingles")))
-    classes = hashed.groupBy("same").agg(F.min("id").alias("class_id"))
-    members = hashed.select("id", "same").join(classes, "same").select("id", "class_id")
-    # A class's own row is the one whose id is the class id: no wide column takes part in the grouping.
-    own = hashed.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "shingles")
-    return members, own.withColumn("sketch", F.slice("shingles", 1, k))
-
-
-def _list_keys(classes: DataFrame, slack: int) -> DataFrame:
-    """class_id, key: neighbours in sketch order, without the `slack` most common ones of each class."""
-    n = F.size("sketch")
-    pair = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))
-    # Very short texts have few neighbours: their single values serve as keys, too.
-    single = F.transform("sketch", lambda v: F.xxhash64(v))
-    keys = F.when(n >= 4 * slack, pair).when(n >= 2, F.concat(pair, single)).otherwise(single)
-    posted = classes.select("class_id", n.alias("n"), F.explode(keys).alias("key"))
-    # Single values join the lists of long texts as well wherever a short text may need them.
-    shared = posted.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    kept = posted.join(shared, "key")
-    rank = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("texts"), "key"))
-    return kept.withColumn("rank", rank).where((F.col("rank") > slack) | (F.col("n") < 4 * slack) | (F.col("texts") <= 50)).select("class_id", "key", "n")
+    hashed = tokens.select("id", F.xxhash64("tokens").alias("same_a"), F.xxhash64(F.lit(1), "tokens").alias("same_b"), shingle_hashes(F.col("tokens"), shingle).alias("shingles"))
+    hashed = cut_lineage(hashed.select("id", "same_a", "same_b", F.size("shingles").alias("n"), F.slice("shingles", 1, k).alias("sketch"))).where("n > 0")  # a filter before this point would repeat the expressions above
+    classes = hashed.groupBy("same_a", "same_b").agg(F.min("id").alias("class_id"))
+    members = _met(hashed.select("id", "same_a", "same_b"), classes, ["same_a", "same_b"]).select("id", "class_id")
+    return cut_lineage(members), hashed.select("id", "n", "sketch")
+
 
+def least_shared(run: int, n: Column, threshold: float, k: int) -> Column:
+    """Keys (runs of 1, 2 or 3 sketch values) that a text of n shingles shares with any text at the threshold.
 
-def similar_classes(classes: DataFrame, threshold: float, slack: int = SLACK, margin: float = MARGIN) -> DataFrame:
+    1: the intersection is at least threshold * n. 2: m shared ones among u in a row leave at least 2m - u - 1 neighbours
+    together, and u >= n. 3: the mean is k * threshold ** 3; the divisor puts the bound where the docstring says.
+    """
+    if run == 1:
+        bound = F.ceil(F.lit(threshold) * n)
+    elif run == 2:
+        bound = F.ceil(F.lit(2 * threshold - 1) * n) - 1
+    else:
+        bound = F.floor(F.least(n, F.lit(k)) * F.lit(threshold**3 / 4.6))
+    return F.greatest(bound.cast("int"), F.lit(1))
+
+
+def _list_keys(rows: DataFrame, members: DataFrame, threshold: float, k: int) -> DataFrame:
+    """class_id, key, texts, run: the list entries of every class that it may need to meet a similar one."""
+    n, size = F.col("n"), F.size("sketch")
+    shortest = F.ceil(n * F.lit(threshold))  # of the texts it may resemble
+    runs = {1: shortest < PAIR_RUNS, 2: (n >= PAIR_RUNS) & (shortest < WHOLE_RUNS), 3: n >= WHOLE_RUNS}
+
+    def of(run: int) -> Column:
+        starts = F.when(runs[run] & (size >= run), F.sequence(F.lit(0), size - run)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(run), *[F.get("sketch", i + j) for j in range(run)]))
+
+    # The run of a key is in its last two bits, so that an entry is two numbers.
+    tagged = lambda run: F.transform(of(run), lambda h: h.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(run)))
+    posted = rows.select("id", F.explode(F.concat(*[tagged(run) for run in runs])).alias("key"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    kept = _met(posted, shared, ["key"]).withColumn("run", F.col("key").bitwiseAND(F.lit(3)))
+    own = _met(rows.select("id", "n"), members.where("id = class_id"), ["id"])
+    per_class = _met(kept, own, ["id"]).groupBy("class_id", "run", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys"))  # at most k
+    enough = reduce(lambda out, r: F.when(F.col("run") == r, least_shared(r, n, threshold, k)).otherwise(out), runs, F.lit(1))
+    spare = F.greatest(enough - SHARED, F.lit(0))
+    listed = per_class.withColumn("keys", F.slice("keys", 1, F.greatest(F.size("keys") - spare, F.lit(0))))
+    return listed.select("class_id", "n", F.least(enough, F.lit(SHARED)).alias("enough"), F.explode("keys").alias("k")).select("class_id", "n", "enough", "k.key", "k.texts")
+
+
+def candidate_pairs(rows: DataFrame, members: DataFrame, threshold: float, k: int) -> DataFrame:
+    """class_a < class_b of the pairs that share enough keys."""
+    keys = cut_lineage(_list_keys(rows, members, threshold, k))
+    parts = F.ceil(F.col("texts") / SALT).cast("int")
+    one = keys.select("key", F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("salt"), F.col("class_id").alias("class_a"), F.col("enough").alias("enough_a"), F.col("n").alias("n_a"))
+    all_ = keys.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("class_id").alias("class_b"), F.col("enough").alias("enough_b"), F.col("n").alias("n_b"))
+    pairs = _met(one, all_, ["key", "salt"]).where("class_a < class_b").where((F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")))
+    counted = pairs.groupBy("class_a", "class_b").agg(F.count("*").alias("common"), F.least(F.min("enough_a"), F.min("enough_b")).alias("enough"))
+    return counted.where("common >= enough").select("class_a", "class_b")
+
+
+def similar_classes(df: DataFrame, id_column: str, rows: DataFrame, members: DataFrame, threshold: float, shingle: int, k: int, margin: float = MARGIN) -> DataFrame:
     """class_a < class_b, similarity for all pairs of classes that reach the threshold."""
-    keys = cut_lineage(_list_keys(classes, slack))
-    pairs = keys.alias("x").join(keys.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.class_id") < F.col("y.class_id"))
-    pairs = pairs.select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"), F.least("x.n", "y.n").alias("n"))
-    # One shared key may be chance. Texts with several values share several keys (see the module), those with one can't.
-    pairs = pairs.groupBy("class_a", "class_b").agg(F.count("*").alias("common"), F.min("n").alias("n")).where((F.col("common") >= 2) | (F.col("n") < 2)).select("class_a", "class_b")
-    side = lambda s: classes.select(F.col("class_id").alias(f"class_{s}"), F.col("shingles").alias(f"all_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    both = pairs.join(side("a").drop("all_a"), "class_a").join(side("b").drop("all_b"), "class_b")
-    k = F.least(F.size("sketch_a"), F.size("sketch_b"))
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, F.greatest(k, F.lit(1)))
-    estimate = F.size(F.array_intersect(F.array_intersect(union, F.col("sketch_a")), F.col("sketch_b"))) / F.size(union)
+    if threshold < 0.6:
+        raise ValueError("the bounds of the inverted lists hold from a similarity of 0.6 on")
+    pairs = cut_lineage(candidate_pairs(rows, members, threshold, k))
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
+    texts = _met(df.select(F.col(id_column).alias("id"), "text"), ends, ["id"], "left_semi")
+    whole = cut_lineage(_tokens(texts, "id").select("id", shingle_hashes(F.col("tokens"), shingle).alias("shingles")))
+    side = lambda s, n=None: whole.select(F.col("id").alias(f"class_{s}"), (F.slice("shingles", 1, n) if n else F.col("shingles")).alias(f"values_{s}"))
+    both = _met(_met(pairs, side("a", k), ["class_a"]), side("b", k), ["class_b"])
+    least = F.least(F.size("values_a"), F.size("values_b"))
+    union = F.slice(F.sort_array(F.array_union("values_a", "values_b")), 1, F.greatest(least, F.lit(1)))
+    estimate = F.size(F.array_intersect(F.array_intersect(union, F.col("values_a")), F.col("values_b"))) / F.size(union)
     likely = both.where(estimate >= threshold - margin).select("class_a", "class_b")
-    exact = likely.join(side("a").drop("sketch_a"), "class_a").join(side("b").drop("sketch_b"), "class_b")
-    exact = exact.withColumn("common", F.size(F.array_intersect("all_a", "all_b")))
-    similarity = F.col("common") / (F.size("all_a") + F.size("all_b") - F.col("common"))
+    exact = _met(_met(likely, side("a"), ["class_a"]), side("b"), ["class_b"]).withColumn("common", F.size(F.array_intersect("values_a", "values_b")))
+    similarity = F.col("common") / (F.size("values_a") + F.size("values_b") - F.col("common"))
     return exact.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("class_a", "class_b", "similarity")
 
 
 def similar_rows(df: DataFrame, id_column: str, threshold: float = THRESHOLD, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
     """id_a < id_b for all pairs of rows that reach the threshold, copies expanded. Its size is that of the answer."""
-    members, classes = sketches(df, id_column, shingle, k)
-    links = similar_classes(classes, threshold)
+    members, rows = sketches(df, id_column, shingle, k)
+    links = similar_classes(df, id_column, rows, members, threshold, shingle, k)
     a, b = members.select(F.col("id").alias("id_a"), F.col("class_id").alias("class_a")), members.select(F.col("id").alias("id_b"), F.col("class_id").alias("class_b"))
-    between = links.join(a, "class_a").join(b, "class_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    within = a.join(b, F.col("class_a") == F.col("class_b")).where("id_a < id_b").select("id_a", "id_b")
+    between = _met(_met(links, a, ["class_a"]), b, ["class_b"]).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    within = _met(a.withColumnRenamed("class_a", "class_id"), b.withColumnRenamed("class_b", "class_id"), ["class_id"]).where("id_a < id_b").select("id_a", "id_b")
     return between.unionByName(within)
 
 
@@ -111,9 +162,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(small_least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = cut_lineage(small)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
@@ -129,12 +180,12 @@ def duplicate_groups(df: DataFrame, id_column: str, threshold: float = THRESHOLD
 
     Rows without a shingle are groups of their own.
     """
-    members, classes = sketches(df, id_column, shingle, k)
-    links = cut_lineage(similar_classes(classes, threshold))
-    groups = connected_components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    members, rows = sketches(df, id_column, shingle, k)
+    links = cut_lineage(similar_classes(df, id_column, rows, members, threshold, shingle, k))
+    groups = connected_components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).withColumnRenamed("node", "class_id")
     ends = reduce(DataFrame.unionByName, [links.select(F.col(c).alias("class_id")) for c in ("class_a", "class_b")])
     counts = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
-    grouped = members.join(groups, F.col("class_id") == F.col("node"), "left").join(counts, "class_id", "left")
+    grouped = _met(_met(members, groups, ["class_id"], "left"), counts, ["class_id"], "left")
     known = grouped.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = df.select(F.col(id_column).alias("id")).join(members.select("id"), "id", "left_anti").select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = _met(df.select(F.col(id_column).alias("id")), members.select("id"), ["id"], "left_anti").select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
     return known.unionByName(alone)

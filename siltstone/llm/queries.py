@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.duplicate_groups(table(spark, d, "ingest_chunks"), "chunk_row_id").withColumnRenamed("id", "chunk_row_id")
+    return near_duplicates.duplicate_groups(table(spark, d, "ingest_chunks"), "chunk_row_id", threshold=0.6, shingle=3).withColumnRenamed("id", "chunk_row_id")
 
 
 def _split_inputs(spark: SparkSession, d: str) -> list[DataFrame]:
