@@ -1,11 +1,18 @@
 """Problem 2: bring text written with look-alike characters to one consistent form.
 
-A quick check (one character class, evaluated inside the JVM) tells which texts hold any character that may be
-unstable; only these reach Python. There only the unstable segments, with the base letter that a mark belongs to or the
-word that a foreign letter stands in, are normalised and spliced back into the text, which is otherwise left alone.
+The form is NFC, besides that invisible characters are gone, and what only looks like plainer text (wide and narrow
+forms, joined letters, positional forms, other spaces and hyphens, letters of other scripts standing in for Latin ones)
+is that text. Compatibility characters that look different (superscripts, fractions, symbols) stay.
+
+Quick-check properties, derived from the Unicode data for every character, say what may be unstable: NFC_QC No or Maybe,
+a combining class, a decomposition of a look-alike kind, an invisible kind. They make one character class for the JVM,
+which tells the texts that hold any such character; only these reach Python. There the unstable segments are isolated
+with their boundary context (the last stable starter before them; the next stable starter ends them), normalised alone
+and spliced back into the text, which is otherwise left alone.
 
 Defined results: null stays null, the empty text stays empty, a text without unstable characters comes back unchanged
-(the same bytes), whatever its length. Repeated rows are treated alike and row order does not matter.
+(the same bytes), whatever its length. The form of a form is the form itself. Repeated rows are treated alike and row
+order does not matter.
 """
 
 from __future__ import annotations
@@ -20,10 +27,11 @@ from pyspark.sql import types as T
 
 from siltstone.session import cut_lineage
 
-# Characters without a visible shape.
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\ufeff"
-# Spaces and hyphens other than the plain one.
-SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Characters without a visible shape that aren't format characters by category.
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u2065\u3164\uffa0" + "".join(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
+# Format characters that are visible signs.
+VISIBLE_FORMAT = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+# Hyphens other than the plain one.
 HYPHENS = "\u2010\u2011\ufe63\uff0d"
 # Single letters of other scripts (and two Latin ones) drawn like a plain Latin letter.
 LOOKALIKE = {
@@ -36,40 +44,79 @@ LOOKALIKE = {
     "\u0585": "o", "\u057d": "u", "\u0570": "h", "\u0555": "O", "\u054f": "S",
 }
 LATIN_TWINS = {"\u0261": "g", "\u0251": "a"}
-
-
-def _compat(lo: int, hi: int) -> dict[str, str]:
-    """Compatibility forms that look like their plain text, from the range's own decomposition."""
-    return {c: n for c in map(chr, range(lo, hi + 1)) if (n := unicodedata.normalize("NFKC", c)) != c}
-
-
-TABLE: dict[str, str] = {
-    **_compat(0xFF01, 0xFFE6),  # wide and half-width forms
-    **_compat(0xFB00, 0xFB06),  # joined letters
-    **_compat(0x0132, 0x0133),
-    **_compat(0x01C4, 0x01CC),
-    **_compat(0x01F1, 0x01F3),
-    **_compat(0x2160, 0x217F),  # Roman numerals drawn as one character
-    **_compat(0x2126, 0x2126),
-    **_compat(0x212A, 0x212B),
-    **dict.fromkeys(INVISIBLE, ""),
-    **dict.fromkeys(SPACES, " "),
-    **dict.fromkeys(HYPHENS, "-"),
-    **LATIN_TWINS,
-}
-MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff"
-
+#: Kinds of compatibility decompositions whose two sides look the same.
+SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+#: Code points with decompositions, combining classes or format characters are below the first or in the second.
+_ASSIGNED = [range(0x80, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200)]
+
+
+def _plainer(c: str) -> str | None:
+    """The plainer text that a character looks like, or None."""
+    if c in INVISIBLE or (unicodedata.category(c) == "Cf" and c not in VISIBLE_FORMAT):
+        return ""
+    if c in HYPHENS:
+        return "-"
+    if unicodedata.category(c) == "Zs":
+        return " "
+    if c in LATIN_TWINS:
+        return LATIN_TWINS[c]
+    kind = unicodedata.decomposition(c).split(" ")[0]
+    if not kind.startswith("<"):
+        return None
+    plain = unicodedata.normalize("NFKC", c)
+    letters = unicodedata.category(c)[0] == "L" and len(plain) > 1
+    joined = kind == "<compat>" and plain.isalpha() and (letters or "ROMAN NUMERAL" in unicodedata.name(c, "") or "RADICAL" in unicodedata.name(c, ""))
+    return plain if joined or (kind in SAME_LOOK and " " not in plain) else None
+
+
+def _properties() -> tuple[dict[str, str], set[str]]:
+    """Character to plainer text, and all characters that the quick check finds unstable."""
+    table: dict[str, str] = {}
+    unstable: set[str] = set()
+    for c in (chr(i) for r in _ASSIGNED for i in r if not 0xD800 <= i < 0xE000 and not 0xAC00 <= i < 0xD7A4 and not 0x3400 <= i < 0xA000):
+        if unicodedata.combining(c):
+            unstable.add(c)
+        decomposed = unicodedata.decomposition(c)
+        if decomposed and decomposed[0] != "<":
+            if unicodedata.normalize("NFC", c) != c:  # NFC_QC No
+                unstable.add(c)
+            elif " " in decomposed:  # what a character composes with is NFC_QC Maybe
+                unstable.add(chr(int(decomposed.split()[1], 16)))
+        if (plain := _plainer(c)) is not None and plain != c:
+            table[c] = plain
+    unstable |= {chr(i) for r in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)) for i in r}  # Hangul vowels and finals: Maybe
+    for c, plain in table.items():  # a plainer text may have something plainer
+        while (again := "".join(table.get(x, x) for x in plain)) != plain:
+            plain = again
+        table[c] = plain
+    return table, unstable | table.keys()
+
+
+def _ranges(chars: set[str], gap: int) -> list[tuple[int, int]]:
+    """Ranges that cover all the characters; those at most `gap` apart are one."""
+    out: list[list[int]] = []
+    for i in sorted(map(ord, chars)):
+        if out and i - out[-1][1] <= gap:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return [(a, b) for a, b in out]
+
+
+TABLE, UNSTABLE = _properties()
 _TRANSLATE = str.maketrans(TABLE)
-_CLASS = "".join(re.escape(c) for c in TABLE)
-_SEGMENT = re.compile(f"[{_CLASS}]+")
-_MARKED = re.compile(f"[^\\W\\d_][{MARKS}]+")
+_SEGMENT = re.compile("(?s).?[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _ranges(UNSTABLE, 1)) + "]+")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKE) + "]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 
-#: The quick check as a Java character class of few ranges: no match means that the text is in the consistent form.
+#: The quick check as a Java character class: no match means that the text is in the consistent form. Below U+3000 it has
+#: the characters themselves (gaps of up to 3), above it ranges with wider gaps: what they add is judged in Python.
+_CHECKED = UNSTABLE | set(LOOKALIKE)
 QUICK_CHECK = (
-    r"[\x{a0}\x{ad}\x{132}\x{133}\x{1c4}-\x{1cc}\x{1f1}-\x{1f3}\x{250}-\x{2012}\x{2028}-\x{206f}\x{2126}-\x{218f}\x{3000}\x{f000}-\x{ffef}]"
+    "[[^\\x{0}-\\x{9f}]&&["
+    + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in [*_ranges({c for c in _CHECKED if ord(c) < 0x370}, 3), *_ranges({c for c in _CHECKED if 0x370 <= ord(c) < 0x2000}, 255), *_ranges({c for c in _CHECKED if 0x2000 <= ord(c) < 0x3000}, 3), *_ranges({c for c in _CHECKED if ord(c) >= 0x3000}, 4095)])
+    + "]]"
 )
 
 
@@ -103,14 +150,17 @@ def _plain_letters(text: str) -> str:
     return "".join(out) + text[end:] if out else text
 
 
+def _normalized(m: re.Match) -> str:
+    return unicodedata.normalize("NFC", m[0].translate(_TRANSLATE))
+
+
 def canonical_text(text: str | None) -> str | None:
     """The consistent form of one text."""
     if text is None or text.isascii():
         return text
-    out = _SEGMENT.sub(lambda m: m[0].translate(_TRANSLATE), text)
-    out = _MARKED.sub(lambda m: unicodedata.normalize("NFC", m[0]), out)
-    if _FOREIGN.search(out):
-        out = _plain_letters(out)
+    out = _SEGMENT.sub(_normalized, text)
+    while _FOREIGN.search(out) and (plain := _plain_letters(out)) != out:
+        out = _SEGMENT.sub(_normalized, plain)  # a replaced letter may be the base of an accent; every turn has fewer foreign letters
     return out
 
 
