@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,14 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only where none is set (tests), a local one."""
+    """Use the shared folder named by spark.checkpoint.dir. Only a local session (tests) may do without: its folder is
+    the machine's own and goes when the process ends."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "siltstone-checkpoints"))
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, so that lost executors don't force a recomputation from the start."""
+    """Write df to the shared checkpoint folder, so that lost executors don't force a recomputation from the start.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints a cluster deletes the files once nothing refers to them.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df to be broadcast if it has at most that many rows, otherwise as it is: its join is then a shuffled one.
+
+    df should be checkpointed, since it is counted. Rows should be narrow; pass a lower bound for wide ones.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("merge")
