@@ -57,7 +57,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_templates(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.line_templates(corpus.page_and_block_texts(spark, d), table(spark, d, "archives"))
+    return site_lines.line_templates(corpus.page_and_block_texts(spark, d), table(spark, d, "archives")).drop("leaf", "letters")
 
 
 def p5_without_lines(spark: SparkSession, d: str) -> DataFrame:
