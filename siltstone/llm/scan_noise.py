@@ -6,8 +6,9 @@ and a weighted edit distance with confusion pairs keeps those that scanning may
 if such a candidate is `RATIO` times as frequent as itself. For the repair, bigram counts choose among several
 candidates.
 
-Running heads: lines at the edge of pages (after the site's own lines, problem 5, are taken away) that agree with the
-archive's title or recur on its pages, up to a few misread letters. Page labels: lines there in one of the usual forms
+Running heads: lines at the edge of pages (after the site's own lines, problem 5, are taken away), of any case and length,
+that agree with the archive's title or recur on its pages, up to a few misread letters. What recurs in as many archives
+as a line of problem 5 does is none. Page labels: lines there in one of the usual forms
 whose number keeps its distance to the page number, alone or on the line of the head. Hyphenation: a letter, a hyphen or
 a sign standing for one, a line end and a letter.
 
@@ -17,6 +18,7 @@ that is missing from `archives` has no title and no site; columns beyond the nam
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from siltstone.llm import site_lines
 from siltstone.llm.canonical import canonicalize_once
 from siltstone.llm.lexicon import SymmetricDeleteIndex, ranked
-from siltstone.session import cut_lineage
+from siltstone.session import broadcast_if_small, cut_lineage
 
 RATIO, SHARE, NAME_SHARE, LEAST_COUNT = 10.0, 1e-5, 1e-3, 5
 BROKEN = r"\n(?<=\p{L}[-\x{ac}\x{ad}\x{2010}\x{2011}][ \t]{0,9}\n)[ \t]*\p{L}"
@@ -37,11 +39,18 @@ NUMBER = r"(?<![\p{L}\p{N}])(?=[0-9OIlSBZ.,]*[0-9])(?=[0-9.,]*[OIlSBZ])[0-9OIlSB
 MIXED = (
     r"(?i)(?<![\p{L}\p{Nd}])(?!\p{Nd}+(?:st|nd|rd|th|m|mm|cm|km|ft|kg|in|x|h|a)(?![\p{L}\p{Nd}]))(?:\p{Nd}++\p{L}|\p{L}++\p{Nd})"
 )
-EDGE, LONGEST, LOWER = 4, 90, 8
+#: Lines that count as the top or bottom of a page, blank ones and the site's own apart.
+EDGE = 3
+#: Pages on which a head recurs at least, if it is always in capitals or has the beginning of the archive's title in it
+#: (its first NAMING characters). Any other line has to be the outermost one on one page more and on most of the archive's
+#: later pages, or of the even or odd ones among them, since heads may alternate.
+RECURS, NAMING, MOST_PAGES = 2, 8, 0.5
+#: Share of an archive's pages that a form needs for misread spellings to be looked for, so an archive has few such forms.
+MAIN_SHARE, MISREAD_SHARE = 0.05, 0.15
 #: What either of them needs, cheap to look for.
 ODD = r"[0-9](?:\p{L}|(?<=\p{L}.)|(?<=[OIlSBZ][.,].)|[.,][OIlSBZ])"
-#: A text with a line that may be a head or a label: few lower-case letters and no cell of a table.
-EDGE_LINE = rf"(?m)^(?![|\n]|$)(?:[^\p{{Ll}}\n]*+\p{{Ll}}){{0,{LOWER}}}+[^\p{{Ll}}\n]*+$"
+#: A line that may be a page label, alone or beside a head.
+LABEL_LIKE = r"^[\sPpageofOIlSBZ0-9\[\]~\x{2013}\x{2014}./ivxlcIVXLC-]+$|\S\s{2,}\S"
 
 
 # ---- words ----------------------------------------------------------------------------------------------------------
@@ -181,20 +190,22 @@ def head_key(text: Column) -> Column:
 
 def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame) -> DataFrame:
     """record_kind, row_id, archive_id, page_number, n_lines, depth (0 outermost), head, form, number, misread of lines at
-    the top and bottom, without blank lines and the site's own."""
-    likely = texts.where(F.col("text").rlike(EDGE_LINE) | F.contains("text", F.lit(" - ")))  # "Name - Design volume"
-    owned = likely.join(site_lines.sites(archives), "archive_id", "left").join(F.broadcast(bad), "site", "left")
-    flagged = owned.select("record_kind", "row_id", "archive_id", "page_number", "bad", F.filter(F.split("text", "\n", -1), lambda l: F.trim(l) != "").alias("lines"))
-    hashed = lambda l: F.xxhash64(site_lines.line_key(l))
-    kept = flagged.withColumn("lines", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda l: ~F.array_contains(F.col("bad"), hashed(l)))))
-    n = F.size("lines")
-    placed = kept.withColumn("n_lines", n).where(n > 0)
-    head = F.transform(F.slice("lines", 1, EDGE), lambda l, i: F.struct(F.least(i, F.col("n_lines") - 1 - i).alias("depth"), F.trim(l).alias("line")))
-    tail_at = F.greatest(F.col("n_lines") - EDGE, F.lit(EDGE))
-    tail = F.when(F.col("n_lines") > EDGE, F.transform(F.slice("lines", tail_at + 1, F.col("n_lines") - tail_at), lambda l, i: F.struct((F.col("n_lines") - 1 - tail_at - i).alias("depth"), F.trim(l).alias("line")))).otherwise(F.array().cast("array<struct<depth:int,line:string>>"))
-    able = lambda e: (F.length(e["line"]) <= LONGEST) & (e["line"].rlike(EDGE_LINE) | F.contains(e["line"], F.lit(" - "))) & ~F.contains(e["line"], F.lit("|"))
-    edges = placed.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", F.explode(F.filter(F.concat(head, tail), able)).alias("e"))
-    return edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "e.depth", "e.line", _parsed(F.col("e.line")).alias("p")).select("record_kind", "row_id", "archive_id", "page_number", "n_lines", "depth", "line", "p.*")
+    the top and bottom, without blank lines and the site's own. Any line counts that has a label or eight letters."""
+    owned = texts.where("text <> ''").join(site_lines.sites(archives), "archive_id", "left").join(bad, "site", "left")
+    split = F.transform(F.split("text", "\n", -1), lambda l: F.trim(l))
+    hashed = F.transform(F.split(site_lines.word_lines(F.col("text")), "\n", -1), lambda l: F.xxhash64(F.replace(l, F.lit(" "), F.lit(""))))
+    of_site = F.zip_with(split, hashed, lambda l, h: F.when(~F.array_contains(F.col("bad"), h), l))
+    lines = F.filter(F.when(F.col("bad").isNull(), split).otherwise(of_site), lambda l: l != "")
+    placed = owned.select("record_kind", "row_id", "archive_id", "page_number", lines.alias("lines")).withColumn("n_lines", F.size("lines"))
+    ends = F.when(F.col("n_lines") <= 2 * EDGE, F.col("lines")).otherwise(F.concat(F.slice("lines", 1, EDGE), F.slice("lines", -EDGE, EDGE)))
+    n = F.size("ends")
+    edges = placed.where("n_lines > 0").select("record_kind", "row_id", "archive_id", "page_number", "n_lines", ends.alias("ends"))
+    edges = edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", n.alias("n"), F.posexplode("ends").alias("i", "line"))
+    able = ~F.contains("line", F.lit("|")) & (F.col("line").rlike(LABEL_LIKE) | F.col("line").rlike(r"(?:[^\p{L}]*+\p{L}){8}"))
+    edges = edges.where(able).withColumn("p", _parsed(F.when(F.col("line").rlike(LABEL_LIKE), F.col("line"))))
+    plain = F.col("p.form").isNull()
+    depth = F.least(F.col("i"), F.col("n") - 1 - F.col("i")).alias("depth")
+    return edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", depth, "line", F.when(plain, F.col("line")).otherwise(F.col("p.head")).alias("head"), "p.form", "p.number", "p.misread")
 
 
 EXPLICIT = ["of", "page", "p", "box", "tilde", "dash"]
@@ -205,7 +216,7 @@ def heads_and_labels(texts: DataFrame, archives: DataFrame, stored: DataFrame) -
 
     texts: in the consistent form; stored: as they are stored, for the lines of the sites.
     """
-    bad = site_lines.excessive_keys(stored, archives).groupBy("site").agg(F.collect_set("key_hash").alias("bad"))
+    bad = broadcast_if_small(cut_lineage(site_lines.excessive_keys(stored, archives).groupBy("site").agg(F.collect_set("key_hash").alias("bad"))), 10_000)
     edges = cut_lineage(_edges(texts, bad, archives))
     pages = edges.where("record_kind = 'page'")
 
@@ -220,20 +231,32 @@ def heads_and_labels(texts: DataFrame, archives: DataFrame, stored: DataFrame) -
     labels = labelled.where(sure | on_head)
     found = [labels.select("record_kind", "row_id", F.lit("page_number").alias("defect"), "line"), labels.where("misread").select("record_kind", "row_id", F.lit("misread").alias("defect"), "line")]
 
-    # Heads: the archive's title, and lines that recur at the edges of its pages but not in other archives.
-    opening = texts.where("record_kind = 'page'").groupBy("archive_id").agg(F.min("page_number").alias("opening"))
-    keyed = edges.where(F.length("head") >= 8).withColumn("key", head_key(F.col("head"))).where(F.length(F.regexp_replace("key", r"[^\p{L}]", "")) >= 8)
+    # Heads: the archive's title, and lines that recur at the edges of its pages but are none of several archives' lines.
+    even = F.when(F.col("page_number") % 2 == 0, F.col("page_number"))
+    opening = texts.where("record_kind = 'page'").groupBy("archive_id").agg(F.min("page_number").alias("opening"), F.countDistinct("page_number").alias("all_pages"), F.countDistinct(even).alias("even_pages"))
+    keyed = edges.where(F.length("head") >= 8).withColumn("key", head_key(F.col("head"))).where(F.col("key").rlike(r"(?:\p{N}*+\p{L}){8}"))
     later = keyed.join(opening, "archive_id", "left").where(F.col("page_number") != F.coalesce("opening", F.lit(-1)))
-    recurring = later.where("record_kind = 'page'").groupBy("archive_id", "key").agg(F.countDistinct("page_number").alias("n_pages"))
-    in_archives = recurring.groupBy("key").agg(F.count("*").alias("n_archives"))
-    forms = recurring.where("n_pages >= 2").join(in_archives, "key").where("n_archives <= 2").select("archive_id", "key", F.col("n_pages").alias("weight"))
     titles = archives.groupBy("archive_id").agg(F.min(F.get_json_object("archive_metadata", "$.title")).alias("title")).where("title is not null")
-    titles = titles.select("archive_id", head_key(F.col("title")).alias("key"), F.lit(1 << 20).cast("long").alias("weight")).where(F.length("key") >= 8)
-    # A form that a more frequent one explains is a misread spelling of it.
-    all_forms = forms.unionByName(titles).groupBy("archive_id", "key").agg(F.max("weight").alias("weight"))
-    per_archive = all_forms.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("weight", "key")), asc=False).alias("forms"))  # at most pages / 2 forms, in fact one or two
-    near = lambda f: F.levenshtein(f["key"], F.col("key")) <= F.greatest(F.lit(1), F.floor(F.length(f["key"]) * 0.15).cast("int"))
-    matched = later.join(per_archive, "archive_id").withColumn("form_key", F.get(F.filter("forms", near), F.lit(0))["key"]).where("form_key is not null")
+    titles = titles.select("archive_id", head_key(F.col("title")).alias("title_key")).where(F.length("title_key") >= 8)
+    capitals = F.min((F.upper("head") == F.col("head")).cast("int")) == 1
+    recurring = later.where("record_kind = 'page'").groupBy("archive_id", "key").agg(F.countDistinct("page_number").alias("weight"), capitals.alias("capitals"), F.countDistinct(F.when(F.col("depth") == 0, F.col("page_number"))).alias("outer"), F.countDistinct(F.when(F.col("depth") == 0, even)).alias("even"), F.max("all_pages").alias("all_pages"), F.max("even_pages").alias("even_pages"))
+    in_archives = recurring.groupBy("key").agg(F.count("*").alias("n_archives"))
+    apart = F.col("capitals") | F.coalesce(F.contains("key", F.substring("title_key", 1, NAMING)), F.lit(False))
+    share = lambda own, pages: own > F.greatest(pages, F.lit(1)) * MOST_PAGES
+    odd, odd_pages = F.col("outer") - F.col("even"), F.col("all_pages") - F.col("even_pages")
+    mostly = (F.col("outer") > RECURS) & (share(F.col("outer"), F.col("all_pages") - 1) | share(F.col("even"), F.col("even_pages")) | share(odd, odd_pages))
+    often = recurring.where(F.col("weight") >= RECURS).join(titles, "archive_id", "left").where(apart | mostly)
+    forms = often.join(in_archives, "key").where(F.col("n_archives") < site_lines.MIN_ARCHIVES).select("archive_id", "key", "weight", (F.col("weight") >= F.greatest(F.lit(RECURS), F.col("all_pages") * MAIN_SHARE)).alias("main"))
+    named = titles.select("archive_id", F.col("title_key").alias("key"), F.lit(1 << 20).cast("long").alias("weight"), F.lit(True).alias("main"))
+    all_forms = cut_lineage(forms.unionByName(named).groupBy("archive_id", "key").agg(F.max("weight").alias("weight"), F.max("main").alias("main")))
+    # A form near a more frequent main one is a misread spelling of it. A page has 2 EDGE lines at most, each of which
+    # counts for one form, so there are at most 2 EDGE / MAIN_SHARE main forms in an archive.
+    main = all_forms.where("main").groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("weight", "key")), asc=False).alias("forms"))
+    most = lambda f: F.greatest(F.lit(1), F.floor(F.length(f["key"]) * MISREAD_SHARE).cast("int"))
+    near = lambda f: (F.abs(F.length(f["key"]) - F.length("key")) <= most(f)) & (F.levenshtein(f["key"], F.col("key")) <= most(f))
+    known = all_forms.select("archive_id", "key", F.lit(True).alias("known"))
+    joined = later.join(main, "archive_id", "left").join(known, ["archive_id", "key"], "left").withColumn("form_key", F.get(F.filter("forms", near), F.lit(0))["key"])
+    matched = joined.where("form_key is not null or known")
     found += [matched.select("record_kind", "row_id", F.lit("running_head").alias("defect"), "line"), matched.where("form_key <> key").select("record_kind", "row_id", F.lit("misread").alias("defect"), "line")]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
@@ -324,7 +347,8 @@ def respelled(text: str, fixes: dict[str, list[str]], bigrams: dict[tuple[str, s
         best = options[0]
         if len(options) > 1:
             before, after = (found[j][0].lower() if 0 <= j < len(found) else "" for j in (i - 1, i + 1))
-            best = max(options, key=lambda w: (bigrams.get((before, w), 0) + bigrams.get((w, after), 0), -options.index(w)))
+            # Options come by distance and frequency; a place further down costs as much as e times the context.
+            best = max(options, key=lambda w: math.log1p(bigrams.get((before, w), 0) + bigrams.get((w, after), 0)) - options.index(w))
         return best.upper() if sum(map(str.isupper, word)) > 1 and not any(map(str.islower, word)) else best.capitalize() if word[0].isupper() or (word[0].isdigit() and i and text[found[i].start() - 2 : found[i].start()] == ". ") else best
 
     out, end = [], 0

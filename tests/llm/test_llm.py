@@ -224,3 +224,16 @@ def test_scan_noise(spark):
     fixed = {(r.record_kind, r.row_id): r.text for r in scan_noise.repaired(texts, archives, more).collect()}
     assert fixed[("page", 4)] == body.replace("\n", " ") and fixed[("block", 1)] == "" and fixed[("block", 4)] == "a drain of 35 feet"
     assert scan_noise.defects(texts.limit(0), archives, more).count() == 0
+
+
+@pytest.mark.parametrize("title", ["River Works Manual of the Lower Basin District", None])
+def test_heads_in_ordinary_case(spark, title):
+    """A mixed-case head is found on all later pages, with and without a title; a line on a few pages of many is none."""
+    head = "River Works Manual of the Lower Basin District"
+    body = "\n".join(f"line {i} of this page tells of basin {{}}-{i}" for i in range(9))
+    rows = [("page", i, "a", i, f"{head}\n" + body.replace("{}", str(i)) + ("\nseen now and then below the text" if i % 4 == 0 else "")) for i in range(1, 13)]
+    rows += [("block", 1, "a", 5, head), ("block", 2, "a", 5, "seen now and then below the text")]
+    texts = spark.createDataFrame(rows, "record_kind string, row_id bigint, archive_id string, page_number int, text string")
+    archives = spark.createDataFrame([("a", None, "{}" if title is None else '{"title": "' + title + '"}')], "archive_id string, site string, archive_metadata string")
+    got = scan_noise.heads_and_labels(texts, archives, texts).where("defect = 'running_head'").select("record_kind", "row_id").collect()
+    assert sorted(map(tuple, got)) == [("block", 1)] + [("page", i) for i in range(2, 13)]
