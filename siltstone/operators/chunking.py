@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import heading_line, paragraphs, space_tokens, windows
@@ -157,3 +157,8 @@ def block_chunks(blocks: DataFrame, by: list[str], order: list[str], size: int =
     kinds = dict(blocks.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"page_number {kinds['page_number']}", "chunk_no int, heading_path string, token_count int, block_ids array<string>, text string"])
     return per_page.mapInPandas(fold, schema)
+
+
+def overlaps_pages(page_start: Column, page_end: Column, pages: list[int]) -> Column:
+    """Whether a chunk covers one of the pages, both ends included; an end before the start counts as the start."""
+    return F.exists(F.array(*map(F.lit, pages)), lambda p: p.between(page_start, F.greatest(page_start, page_end)))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.archive import BUCKET, numbered
+
 RRF_K, LEAST_CANDIDATES = 60, 50
 STRICT, BALANCED, PERMISSIVE = 0.85, 0.55, 0.0
 
@@ -66,15 +68,16 @@ def number_labels(items: DataFrame, order: list[str | Column], by: list[str], st
 def neighbours(hits: DataFrame, chunks: DataFrame, group: str, seq: str, n: int, id_column: str) -> DataFrame:
     """hit columns, side (before / after), distance, neighbour id: up to n chunks on either side in the same group.
 
-    A range around each hit meets the chunks of its group; no window runs over all chunks.
+    A range around each hit meets the chunks of its group. `hits` have `pos`; chunks without one are numbered first.
     """
     near = hits.select("*", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("distance")).where("distance <> 0")
     at = near.withColumn("_at", F.col("pos") + F.col("distance"))
-    placed = with_position(chunks, group, seq, id_column).select(F.col(group).alias("_g"), F.col("pos").alias("_p"), F.col(id_column).alias("neighbour"))
+    chunks = chunks if "pos" in chunks.columns else with_position(chunks, group, seq, id_column)
+    placed = chunks.select(F.col(group).alias("_g"), F.col("pos").alias("_p"), F.col(id_column).alias("neighbour"))
     joined = at.join(placed, (F.col(group) == F.col("_g")) & (F.col("_at") == F.col("_p"))).drop("_g", "_p", "_at")
     return joined.withColumn("side", F.when(F.col("distance") < 0, "before").otherwise("after"))
 
 
 def with_position(chunks: DataFrame, group: str, seq: str, id_column: str) -> DataFrame:
-    """`pos`: place in the group's storage order, from 1."""
-    return chunks.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(seq, id_column)).cast("long"))
+    """`pos`: place in the group's storage order, from 1. Ranges of seq are numbered apart, so no group is one task's."""
+    return numbered(chunks, [group], F.floor(F.col(seq) / BUCKET), [seq, id_column])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, get_embedder
-from siltstone.operators import fusion, keyword, semantic
+from siltstone.operators import archive, fusion, keyword, records, semantic
 from siltstone.sources import store
 
 KEY = "chunk_row_id"
@@ -75,3 +75,28 @@ def model_groups(archives: DataFrame, chunks: DataFrame) -> DataFrame:
     """embedding_model, embedding_dimension, n_files, n_chunks."""
     counted = chunks.groupBy("archive_id").agg(F.count("*").alias("k"))
     return archives.join(counted, "archive_id").groupBy("embedding_model", "embedding_dimension").agg(F.count("*").alias("n_files"), F.sum("k").alias("n_chunks"))
+
+
+def from_paths(archives: DataFrame, chunks: DataFrame, paths: DataFrame, invalid: DataFrame | None = None) -> Corpus:
+    """A corpus of the files in `paths` (relative_path) without the archives known to be invalid (archive_id)."""
+    own = archives.join(paths.select("relative_path").distinct(), "relative_path", "left_semi")
+    if invalid is not None:
+        own = own.join(invalid.select("archive_id").distinct(), "archive_id", "left_anti")
+    return Corpus(own, chunks.join(own.select("archive_id"), "archive_id", "left_semi"), get_embedder("hashing-sha256"))
+
+
+def document(pages: DataFrame, blocks: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """The parts of stored archives, each once: page, block, chunk, figure."""
+    first = lambda df, key, row: records.latest(df, key, [F.asc(row)])
+    return {
+        "page": first(pages, ["archive_id", "page_number"], "page_row_id"),
+        "block": first(blocks, ["archive_id", "block_id"], "block_row_id"),
+        "chunk": first(chunks, ["archive_id", "chunk_id"], "chunk_row_id"),
+        "figure": archive.attachments(blocks),
+    }
+
+
+def source_totals(indexed: DataFrame, source: DataFrame, archives: DataFrame) -> DataFrame:
+    """embedding_model, n_indexed, n_source over archives (archive_id with n_indexed, n_source); a missing source counts as indexed."""
+    joined = indexed.join(archives.select("archive_id", "embedding_model"), "archive_id").join(source, "archive_id", "left")
+    return joined.groupBy("embedding_model").agg(F.sum("n_indexed").alias("n_indexed"), F.sum(F.coalesce("n_source", "n_indexed")).alias("n_source"))
