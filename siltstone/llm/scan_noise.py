@@ -188,65 +188,78 @@ def head_key(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame) -> DataFrame:
-    """record_kind, row_id, archive_id, page_number, n_lines, depth (0 outermost), head, form, number, misread of lines at
-    the top and bottom, without blank lines and the site's own. Any line counts that has a label or eight letters."""
-    owned = texts.where("text <> ''").join(site_lines.sites(archives), "archive_id", "left").join(bad, "site", "left")
-    split = F.transform(F.split("text", "\n", -1), lambda l: F.trim(l))
-    hashed = F.transform(F.split(site_lines.word_lines(F.col("text")), "\n", -1), lambda l: F.xxhash64(F.replace(l, F.lit(" "), F.lit(""))))
-    of_site = F.zip_with(split, hashed, lambda l, h: F.when(~F.array_contains(F.col("bad"), h), l))
-    lines = F.filter(F.when(F.col("bad").isNull(), split).otherwise(of_site), lambda l: l != "")
+def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame, with_lines: bool) -> DataFrame:
+    """record_kind, row_id, archive_id, page_number, n_lines, depth (0 outermost), key, capitals, form, number, misread (and
+    line) of lines at the top and bottom, without blank lines and the site's own. Any line counts that has a label or
+    eight letters; key is the head's letters and digits, null without eight letters."""
+    of_archive = broadcast_if_small(cut_lineage(site_lines.sites(archives)))
+    owned = texts.where("text <> ''").join(of_archive, "archive_id", "left").join(bad, "site", "left")
+    split = F.split("text", "\n", -1)
+    keys = F.transform(F.split(site_lines.word_lines(F.col("text")), "\n", -1), lambda l: F.replace(l, F.lit(" "), F.lit("")))
+    paired = F.zip_with(split, keys, lambda l, k: F.struct(F.trim(l).alias("line"), k.alias("key")))
+    of_site = lambda e: F.coalesce(F.array_contains(F.col("bad"), F.xxhash64(e["key"])), F.lit(False))
+    lines = F.filter(paired, lambda e: (e["line"] != "") & ~of_site(e))
     placed = owned.select("record_kind", "row_id", "archive_id", "page_number", lines.alias("lines")).withColumn("n_lines", F.size("lines"))
     ends = F.when(F.col("n_lines") <= 2 * EDGE, F.col("lines")).otherwise(F.concat(F.slice("lines", 1, EDGE), F.slice("lines", -EDGE, EDGE)))
-    n = F.size("ends")
     edges = placed.where("n_lines > 0").select("record_kind", "row_id", "archive_id", "page_number", "n_lines", ends.alias("ends"))
-    edges = edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", n.alias("n"), F.posexplode("ends").alias("i", "line"))
-    able = ~F.contains("line", F.lit("|")) & (F.col("line").rlike(LABEL_LIKE) | F.col("line").rlike(r"(?:[^\p{L}]*+\p{L}){8}"))
-    edges = edges.where(able).withColumn("p", _parsed(F.when(F.col("line").rlike(LABEL_LIKE), F.col("line"))))
+    edges = edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", F.size("ends").alias("n"), F.posexplode("ends").alias("i", "e"))
+    line = F.col("e.line")
+    edges = edges.withColumn("like", line.rlike(LABEL_LIKE)).where(~F.contains(line, F.lit("|")) & (F.col("like") | (F.length("e.key") >= 8)))
+    edges = edges.withColumn("p", _parsed(F.when(F.col("like"), line)))
     plain = F.col("p.form").isNull()
+    own = F.when(plain, F.upper("e.key")).otherwise(head_key(F.col("p.head")))
+    head = F.when(plain, line).otherwise(F.col("p.head"))
+    key = F.when((F.length(own) >= 8) & own.rlike(r"(?:\p{N}*+\p{L}){8}"), own)
     depth = F.least(F.col("i"), F.col("n") - 1 - F.col("i")).alias("depth")
-    return edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", depth, "line", F.when(plain, F.col("line")).otherwise(F.col("p.head")).alias("head"), "p.form", "p.number", "p.misread")
+    out = edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", depth, key.alias("key"), (F.upper(head) == head).alias("capitals"), "p.form", "p.number", "p.misread", (F.length(F.col("p.head")) > 0).alias("on_head"), *([line.alias("line")] if with_lines else []))
+    return out.where("key is not null or form is not null")
 
 
 EXPLICIT = ["of", "page", "p", "box", "tilde", "dash"]
 
 
-def heads_and_labels(texts: DataFrame, archives: DataFrame, stored: DataFrame) -> DataFrame:
-    """record_kind, row_id, defect, line for running heads, page labels and misread ones.
+def heads_and_labels(texts: DataFrame, archives: DataFrame, stored: DataFrame, with_lines: bool = False) -> DataFrame:
+    """record_kind, row_id, defect (and line) for running heads, page labels and misread ones.
 
     texts: in the consistent form; stored: as they are stored, for the lines of the sites.
     """
     bad = broadcast_if_small(cut_lineage(site_lines.excessive_keys(stored, archives).groupBy("site").agg(F.collect_set("key_hash").alias("bad"))), 10_000)
-    edges = cut_lineage(_edges(texts, bad, archives))
+    edges = cut_lineage(_edges(texts, bad, archives, with_lines))
+    columns = lambda defect: ["record_kind", "row_id", F.lit(defect).alias("defect"), *(["line"] if with_lines else [])]
     pages = edges.where("record_kind = 'page'")
 
     # Labels: the form and the distance to the page number that most pages of the archive agree on.
     numbered = pages.where("form is not null").withColumn("distance", F.col("number") - F.col("page_number"))
-    votes = numbered.groupBy("archive_id", "distance").agg(F.countDistinct("page_number").alias("votes"))
+    votes = numbered.select("archive_id", "distance", "page_number").distinct().groupBy("archive_id", "distance").agg(F.count("*").alias("votes"))
     usual = votes.groupBy("archive_id").agg(F.max_by("distance", F.struct("votes", -F.abs("distance"), "distance")).alias("usual"), F.max("votes").alias("votes"))
-    labelled = edges.where("form is not null").join(usual, "archive_id", "left").withColumn("fits", F.coalesce((F.col("number") - F.col("page_number") == F.col("usual")) & (F.col("votes") >= 2), F.lit(False)))
+    labelled = edges.where("form is not null").join(broadcast_if_small(cut_lineage(usual)), "archive_id", "left").withColumn("fits", F.coalesce((F.col("number") - F.col("page_number") == F.col("usual")) & (F.col("votes") >= 2), F.lit(False)))
     explicit = F.col("form").isin(EXPLICIT)
     sure = F.when(F.col("record_kind") == "block", (F.col("n_lines") == 1) & (explicit | F.col("fits"))).otherwise(F.col("fits") | (explicit & (F.col("depth") <= 1)))
-    on_head = (F.length("head") > 0) & (explicit | F.col("fits"))
+    on_head = F.col("on_head") & (explicit | F.col("fits"))
     labels = labelled.where(sure | on_head)
-    found = [labels.select("record_kind", "row_id", F.lit("page_number").alias("defect"), "line"), labels.where("misread").select("record_kind", "row_id", F.lit("misread").alias("defect"), "line")]
+    found = [labels.select(*columns("page_number")), labels.where("misread").select(*columns("misread"))]
 
     # Heads: the archive's title, and lines that recur at the edges of its pages but are none of several archives' lines.
-    even = F.when(F.col("page_number") % 2 == 0, F.col("page_number"))
-    opening = texts.where("record_kind = 'page'").groupBy("archive_id").agg(F.min("page_number").alias("opening"), F.countDistinct("page_number").alias("all_pages"), F.countDistinct(even).alias("even_pages"))
-    keyed = edges.where(F.length("head") >= 8).withColumn("key", head_key(F.col("head"))).where(F.col("key").rlike(r"(?:\p{N}*+\p{L}){8}"))
-    later = keyed.join(opening, "archive_id", "left").where(F.col("page_number") != F.coalesce("opening", F.lit(-1)))
+    is_even = lambda c: F.when(F.col(c) % 2 == 0, 1)
+    numbers = texts.where("record_kind = 'page'").select("archive_id", "page_number").distinct()
+    opening = numbers.groupBy("archive_id").agg(F.min("page_number").alias("opening"), F.count("*").alias("all_pages"), F.count(is_even("page_number")).alias("even_pages"))
+    opening = broadcast_if_small(cut_lineage(opening))
+    later = edges.where("key is not null").join(opening, "archive_id", "left").where(F.col("page_number") != F.coalesce("opening", F.lit(-1))).withColumn("key_hash", F.xxhash64("key"))
     titles = archives.groupBy("archive_id").agg(F.min(F.get_json_object("archive_metadata", "$.title")).alias("title")).where("title is not null")
     titles = titles.select("archive_id", head_key(F.col("title")).alias("title_key")).where(F.length("title_key") >= 8)
-    capitals = F.min((F.upper("head") == F.col("head")).cast("int")) == 1
-    recurring = later.where("record_kind = 'page'").groupBy("archive_id", "key").agg(F.countDistinct("page_number").alias("weight"), capitals.alias("capitals"), F.countDistinct(F.when(F.col("depth") == 0, F.col("page_number"))).alias("outer"), F.countDistinct(F.when(F.col("depth") == 0, even)).alias("even"), F.max("all_pages").alias("all_pages"), F.max("even_pages").alias("even_pages"))
-    in_archives = recurring.groupBy("key").agg(F.count("*").alias("n_archives"))
+    # Pages stored again count once: first one row for each page with a key, then their number. Hashes stand for the keys.
+    per_page = later.where("record_kind = 'page'").groupBy("archive_id", "key_hash", "page_number").agg(F.min("depth").alias("depth"), F.min("capitals").alias("capitals"))
+    outer = F.when(F.col("depth") == 0, 1)
+    recurring = per_page.groupBy("archive_id", "key_hash").agg(F.count("*").alias("weight"), F.min("capitals").alias("capitals"), F.count(outer).alias("outer"), F.count(F.when(outer == 1, is_even("page_number"))).alias("even")).where(F.col("weight") >= RECURS)
+    recurring = cut_lineage(recurring)  # few of all lines
+    in_archives = recurring.groupBy("key_hash").agg(F.count("*").alias("n_archives")).where(F.col("n_archives") < site_lines.MIN_ARCHIVES)
+    spelled = later.join(broadcast_if_small(recurring.select("archive_id", "key_hash")), ["archive_id", "key_hash"], "left_semi").groupBy("archive_id", "key_hash").agg(F.min("key").alias("key"))
+    often = recurring.join(in_archives, "key_hash").join(spelled, ["archive_id", "key_hash"]).join(titles, "archive_id", "left").join(opening, "archive_id")
     apart = F.col("capitals") | F.coalesce(F.contains("key", F.substring("title_key", 1, NAMING)), F.lit(False))
     share = lambda own, pages: own > F.greatest(pages, F.lit(1)) * MOST_PAGES
     odd, odd_pages = F.col("outer") - F.col("even"), F.col("all_pages") - F.col("even_pages")
     mostly = (F.col("outer") > RECURS) & (share(F.col("outer"), F.col("all_pages") - 1) | share(F.col("even"), F.col("even_pages")) | share(odd, odd_pages))
-    often = recurring.where(F.col("weight") >= RECURS).join(titles, "archive_id", "left").where(apart | mostly)
-    forms = often.join(in_archives, "key").where(F.col("n_archives") < site_lines.MIN_ARCHIVES).select("archive_id", "key", "weight", (F.col("weight") >= F.greatest(F.lit(RECURS), F.col("all_pages") * MAIN_SHARE)).alias("main"))
+    forms = often.where(apart | mostly).select("archive_id", "key", "weight", (F.col("weight") >= F.col("all_pages") * MAIN_SHARE).alias("main"))
     named = titles.select("archive_id", F.col("title_key").alias("key"), F.lit(1 << 20).cast("long").alias("weight"), F.lit(True).alias("main"))
     all_forms = cut_lineage(forms.unionByName(named).groupBy("archive_id", "key").agg(F.max("weight").alias("weight"), F.max("main").alias("main")))
     # A form near a more frequent main one is a misread spelling of it. A page has 2 EDGE lines at most, each of which
@@ -254,10 +267,10 @@ def heads_and_labels(texts: DataFrame, archives: DataFrame, stored: DataFrame) -
     main = all_forms.where("main").groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("weight", "key")), asc=False).alias("forms"))
     most = lambda f: F.greatest(F.lit(1), F.floor(F.length(f["key"]) * MISREAD_SHARE).cast("int"))
     near = lambda f: (F.abs(F.length(f["key"]) - F.length("key")) <= most(f)) & (F.levenshtein(f["key"], F.col("key")) <= most(f))
-    known = all_forms.select("archive_id", "key", F.lit(True).alias("known"))
-    joined = later.join(main, "archive_id", "left").join(known, ["archive_id", "key"], "left").withColumn("form_key", F.get(F.filter("forms", near), F.lit(0))["key"])
+    known = broadcast_if_small(cut_lineage(all_forms.select("archive_id", F.xxhash64("key").alias("key_hash"), F.lit(True).alias("known"))))
+    joined = later.join(broadcast_if_small(cut_lineage(main), 50_000), "archive_id", "left").join(known, ["archive_id", "key_hash"], "left").withColumn("form_key", F.get(F.filter("forms", near), F.lit(0))["key"])
     matched = joined.where("form_key is not null or known")
-    found += [matched.select("record_kind", "row_id", F.lit("running_head").alias("defect"), "line"), matched.where("form_key <> key").select("record_kind", "row_id", F.lit("misread").alias("defect"), "line")]
+    found += [matched.select(*columns("running_head")), matched.where("form_key <> key").select(*columns("misread"))]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
@@ -286,7 +299,7 @@ def defects(texts: DataFrame, archives: DataFrame, more_texts: DataFrame) -> Dat
     marks = texts.sparkSession.createDataFrame([("\u0000hyphenation", "hyphenation"), ("\u0000misread", "misread")], "spelled string, defect string")
     tokens = plain.select("record_kind", "row_id", F.explode(F.concat(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), flags)).alias("spelled"))
     words = tokens.join(F.broadcast(bad.unionByName(marks)), "spelled").select("record_kind", "row_id", "defect")
-    return words.unionByName(heads_and_labels(plain, archives, texts).drop("line")).distinct()
+    return words.unionByName(heads_and_labels(plain, archives, texts)).distinct()
 
 
 
@@ -383,7 +396,7 @@ def repaired(texts: DataFrame, archives: DataFrame, more_texts: DataFrame, share
     bad = spelled.select("spelled", word_of(F.col("spelled")).alias("word")).join(F.broadcast(misread), "word")
     tokens = plain.select("record_kind", "row_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("spelled"))
     fixes = tokens.join(F.broadcast(bad), "spelled").groupBy("record_kind", "row_id").agg(F.collect_list(F.struct("word", "candidates")).alias("fixes"))
-    drops = heads_and_labels(plain, archives, texts).where("defect <> 'misread'").groupBy("record_kind", "row_id").agg(F.collect_set("line").alias("drops"))
+    drops = heads_and_labels(plain, archives, texts, with_lines=True).where("defect <> 'misread'").groupBy("record_kind", "row_id").agg(F.collect_set("line").alias("drops"))
     joined = plain.select("record_kind", "row_id", "text").join(fixes, ["record_kind", "row_id"], "left").join(drops, ["record_kind", "row_id"], "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
