@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, sparse_embed
+from siltstone.operators import fusion
+from siltstone.session import cut_lineage
+
+BLOCK = 4096
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, query_id: str, keep: list[str] | None = None) -> DataFrame:
@@ -74,3 +78,92 @@ def sparse_scores(docs: DataFrame, queries: DataFrame, id_column: str, embedder:
         return scored
     every = docs.select(*by, F.col(id_column).alias("id")).join(qn.select(*by, "query_id"), by)
     return every.join(scored, [*by, "query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def _blocks(rows: DataFrame) -> Iterator[list]:
+    """Rows of the stated query set, at most BLOCK at a time."""
+    block: list = []
+    for row in rows.toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by id."""
+    order = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+    return order[np.lexsort((ids[order], -scores[order]))][:k]
+
+
+def best_products(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, matrix, shared_only: bool) -> DataFrame:
+    """query_id, id, rank, score (9 decimals): the k best cosines of every query over all vectors.
+
+    Each task keeps k rows a query, so nothing near queries times vectors is ever written. matrix turns a batch of either
+    side (its pandas columns beside the ids) into a dense matrix of unit rows. shared_only: vectors without a common
+    non-zero position are no hits.
+    """
+    spark, parts = vectors.sparkSession, []
+    for block in _blocks(queries):
+        frame = pd.DataFrame([r.asDict() for r in block])
+        shared = spark.sparkContext.broadcast((frame["query_id"].to_numpy(), matrix(frame, dimension)))
+
+        def multiply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype="int64"))] * len(ids)
+            known = (q != 0).astype("float32")
+            for pdf in batches:
+                m, own = matrix(pdf, dimension), pdf["id"].to_numpy()
+                found = np.round(m @ q.T, 9) + 0.0
+                hits = ((m != 0).astype("float32") @ known.T > 0) if shared_only else None
+                for j in range(len(ids)):
+                    here = slice(None) if hits is None else hits[:, j]
+                    s, i = np.concatenate([kept[j][0], found[here, j]]), np.concatenate([kept[j][1], own[here]])
+                    at = _best(s, i, k)
+                    kept[j] = (s[at], i[at])
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(s) for s, _ in kept]), "id": np.concatenate([i for _, i in kept]), "score": np.concatenate([s for s, _ in kept])})
+
+        parts.append(vectors.mapInPandas(multiply, "query_id bigint, id bigint, score double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id bigint, id bigint, rank bigint, score double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return fusion.top_k(out, k, ["query_id"], ["id"]).select("query_id", "id", "rank", "score")
+
+
+def _dense(pdf: pd.DataFrame, dimension: int) -> np.ndarray:
+    m = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.empty((0, dimension))
+    n = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(n == 0, 1.0, n)[:, None]
+
+
+def _sparse(pdf: pd.DataFrame, dimension: int) -> np.ndarray:
+    m = np.zeros((len(pdf), dimension))
+    for i, (b, v) in enumerate(zip(pdf["buckets"], pdf["amounts"])):
+        m[i, np.asarray(b, dtype=int)] = v
+    n = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(n == 0, 1.0, n)[:, None]
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, query_id: str, k: int, dimension: int) -> DataFrame:
+    """query_id, id, rank, score: the k nearest vectors of every query by cosine, zero vectors at 0; zero queries have none."""
+    nonzero = F.exists(vector_column, lambda x: x != 0)
+    q = queries.where(F.col(vector_column).isNotNull() & nonzero).select(F.col(query_id).cast("long").alias("query_id"), F.col(vector_column).alias("v"))
+    own = vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+    return best_products(own, q, k, dimension, _dense, False)
+
+
+def sparse_vectors(texts: DataFrame, key: str, embedder: Embedder) -> DataFrame:
+    """key, buckets, amounts: a text's hashing vector without zeros, at most `dimension` of them; texts without words are left out."""
+    each = sparse_embed(texts, [key], embedder)
+    packed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("b"))
+    return packed.select(key, F.col("b.bucket").alias("buckets"), F.col("b.value").alias("amounts"))
+
+
+def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int, embedder: Embedder) -> DataFrame:
+    """query_id, id, rank, score over sparse_vectors (id, buckets, amounts) that share a bucket with the query."""
+    q = cut_lineage(sparse_vectors(queries.select("query_id", F.col("query_text").alias("text")), "query_id", embedder))
+    return best_products(vectors, q, k, embedder.dimension, _sparse, True)

@@ -14,7 +14,7 @@ from siltstone.functions.metadata import citation, where_equals
 from siltstone.functions.text import ACCENTED, PLAIN, glob_match, heading_line, index_tokens, page_selection
 from siltstone.operators import chunking, evaluation, fusion, keyword, layout, quality, records, semantic
 from siltstone.plans import library
-from siltstone.session import table
+from siltstone.session import cut_lineage, ensure_checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,6 +124,26 @@ def keyword_expressions(spark, d):
     return _top(keyword.keyword_scores(_chunks(spark, d), spark.createDataFrame(EXPRESSIONS, "query_id bigint, query_text string"), "chunk_row_id"))
 
 
+_INDEX_OF: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark, d) -> library.Corpus:
+    """The library's corpus over a stored index, built once a session in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEX_OF:
+        ensure_checkpoint_dir(spark)
+        root = f"{spark.sparkContext.getCheckpointDir()}/index-{len(_INDEX_OF)}"
+        library.build_index(spark, root, table(spark, d, "archives"), _chunks(spark, d))
+        _INDEX_OF[key] = root
+    return library.Corpus.open(spark, _INDEX_OF[key], table(spark, d, "archives"))
+
+
+@query(_INDEX + _TOP.format("scored", K))
+def stored_index_keyword(spark, d):
+    """Keyword search on the stored index: three fields, no text read."""
+    return indexed(spark, d).search(_cases(spark, d), "keyword", K).select("query_id", "id", "rank", _score())
+
+
 @query(
     f"""WITH d AS (SELECT chunk_row_id AS id, {_TOK.format('text')} AS t FROM ingest_chunks), p AS (SELECT id, unnest(t) AS term FROM d)
 SELECT term, count(*) AS n_tokens, count(DISTINCT id) AS n_chunks FROM p GROUP BY term"""
@@ -142,19 +162,20 @@ s AS (SELECT query_id, vec_id AS id, label, CASE WHEN list_dot_product(v, v) = 0
 """
 
 
-def _dense(spark, d) -> DataFrame:
+def _nearest(spark, d, of) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return semantic.dense_scores(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", ["label"])
+    hits = semantic.dense_top_k(of(e), e.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", K, 64)
+    return hits.select("query_id", "id", "rank", _score())
 
 
 @query(_COS + _TOP.format("s", K))
 def semantic_topk(spark, d):
-    return _top(_dense(spark, d))
+    return _nearest(spark, d, lambda e: e)
 
 
 @query(_COS + f"SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6) AS score FROM s WHERE label = 3 QUALIFY rank <= {K}")
 def semantic_where(spark, d):
-    return _top(_dense(spark, d).where("label = 3"))
+    return _nearest(spark, d, lambda e: e.where("label = 3"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, abs(sqrt(list_dot_product(v, v)) - 1) <= 1e-6 + 1e-4 OR list_dot_product(v, v) = 0 AS unit, len(v) AS dimension FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
@@ -177,14 +198,20 @@ sem AS (SELECT {g}query_id, id, dot / (dn * qn) AS score FROM near JOIN dn USING
 _HASHED_ALL = "docs AS (SELECT chunk_row_id AS id, text FROM ingest_chunks), qs AS (SELECT query_id, query_text FROM query_cases)," + _HASHED.format(g="")
 
 
+def _hashed_top(spark, d, model: str) -> DataFrame:
+    embedder = get_embedder(model)
+    own = semantic.sparse_vectors(_chunks(spark, d).select(F.col("chunk_row_id").alias("id"), "text"), "id", embedder)
+    return semantic.sparse_top_k(own, _cases(spark, d), K, embedder).select("query_id", "id", "rank", _score())
+
+
 @query("WITH " + _HASHED_ALL + _TOP.format("sem", K))
 def semantic_hashing_sha256(spark, d):
-    return _top(semantic.sparse_scores(_chunks(spark, d), _cases(spark, d), "chunk_row_id", get_embedder("hashing-sha256")))
+    return _hashed_top(spark, d, "hashing-sha256")
 
 
 @query()
 def semantic_hashing_blake2b(spark, d):
-    return _top(semantic.sparse_scores(_chunks(spark, d), _cases(spark, d), "chunk_row_id", get_embedder("hashing")))
+    return _hashed_top(spark, d, "hashing")
 
 
 # ---- fusion ---------------------------------------------------------------------------------------------------------
@@ -201,11 +228,7 @@ f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id
 
 
 def _rounded_corpus(spark, d) -> library.Corpus:
-    corpus = library.Corpus(table(spark, d, "archives"), _chunks(spark, d), get_embedder("hashing-sha256"))
-    exact_k, exact_s = corpus.keyword, corpus.semantic
-    corpus.keyword = lambda q: exact_k(q).withColumn("score", F.round("score", 9))
-    corpus.semantic = lambda q: exact_s(q).withColumn("score", F.round("score", 9))
-    return corpus
+    return library.Corpus(table(spark, d, "archives"), _chunks(spark, d), get_embedder("hashing-sha256"))
 
 
 @query(
@@ -218,6 +241,20 @@ def hybrid_rrf_corpus(spark, d):
     return hits.select("query_id", "id", "rank", _score(), _score("semantic_score"), _score("keyword_score"))
 
 
+_STORED = _FUSED.replace(_GLOBAL, _INDEX)
+
+
+@query(
+    _STORED
+    + f""", r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM f QUALIFY rank <= {K})
+SELECT query_id, id, r.rank, round(r.score, 6) AS score, round(a.score, 6) AS semantic_score, round(b.score, 6) AS keyword_score FROM r LEFT JOIN a USING (query_id, id) LEFT JOIN b USING (query_id, id)"""
+)
+def stored_index_hybrid(spark, d):
+    """Hybrid search on the stored index: stored postings and vectors."""
+    hits = indexed(spark, d).search(_cases(spark, d), "hybrid", K)
+    return hits.select("query_id", "id", "rank", _score(), _score("semantic_score"), _score("keyword_score"))
+
+
 _ARCHIVE_SEARCH = (
     _BY_ARCHIVE
     + """, docs AS (SELECT archive_id, chunk_row_id AS id, text FROM ingest_chunks), qs AS (SELECT archive_id, query_id, query_text FROM query_cases),"""
@@ -239,7 +276,7 @@ def _archive_hybrid(spark, d, sw: float, kw: float) -> DataFrame:
     """Search of each case within its own archive: min-max over all candidates, weighted."""
     chunks, cases = _chunks(spark, d), _cases(spark, d)
     s = semantic.sparse_scores(chunks, cases, "chunk_row_id", get_embedder("hashing-sha256"), by=["archive_id"]).select("query_id", "id", F.round("score", 9).alias("score"))
-    k = keyword.keyword_scores(chunks, cases, "chunk_row_id", by=["archive_id"]).join(cases.select("archive_id", "query_id"), ["archive_id", "query_id"], "left_semi").select("query_id", "id", F.round("score", 9).alias("score"))
+    k = keyword.keyword_scores(chunks, cases, "chunk_row_id", by=["archive_id"], only=cases.select("archive_id", "query_id")).select("query_id", "id", F.round("score", 9).alias("score"))
     return fusion.hybrid_scores(s, k, ["query_id"], semantic_weight=sw, keyword_weight=kw)
 
 
@@ -271,9 +308,11 @@ f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM m GROUP BY ALL)
 def mixed_model_rrf(spark, d):
     """Archives of several models: one ranked list per model, fused by rank."""
     chunks = _chunks(spark, d).join(table(spark, d, "archives").select("archive_id", "embedding_model"), "archive_id")
-    scored = semantic.sparse_scores(chunks, _cases(spark, d), "chunk_row_id", get_embedder("hashing-sha256")).withColumn("score", F.round("score", 9))
-    models = scored.join(chunks.select(F.col("chunk_row_id").alias("id"), "embedding_model"), "id")
-    return _top(fusion.rrf([fusion.top_k(models, fusion.candidates(K), ["query_id", "embedding_model"], ["id"])], ["query_id"]))
+    embedder, cases = get_embedder("hashing-sha256"), _cases(spark, d)
+    own = cut_lineage(semantic.sparse_vectors(chunks.select(F.col("chunk_row_id").alias("id"), "text"), "id", embedder).join(chunks.select(F.col("chunk_row_id").alias("id"), "embedding_model"), "id"))
+    models = [r.embedding_model for r in own.select("embedding_model").distinct().collect()]  # a library has few
+    lists = [semantic.sparse_top_k(own.where(F.col("embedding_model").eqNullSafe(m)).drop("embedding_model"), cases, fusion.candidates(K), embedder) for m in models]
+    return _top(fusion.rrf(lists, ["query_id"]))
 
 
 @query(

@@ -9,37 +9,88 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, get_embedder
 from siltstone.operators import archive, fusion, keyword, records, semantic
+from siltstone.session import cut_lineage
 from siltstone.sources import store
 
 KEY = "chunk_row_id"
 
 
-def build_index(spark: SparkSession, root: str, archives: DataFrame, chunks: DataFrame) -> str:
-    """Write the index snapshot: files, chunks with the indexed fields, and the manifest of sizes."""
-    files = archives.select("archive_id", "relative_path", "embedding_model", "embedding_dimension", F.sha2(F.to_json(F.struct(*archives.columns)), 256).alias("hash"))
+FIELDS = ["text", "heading_path", "source_filename"]
+
+
+def file_table(archives: DataFrame) -> DataFrame:
+    """archive_id, relative_path, embedding_model, embedding_dimension, hash of every archive."""
+    return archives.select("archive_id", "relative_path", "embedding_model", "embedding_dimension", F.sha2(F.to_json(F.struct(*archives.columns)), 256).alias("hash"))
+
+
+def build_index(spark: SparkSession, root: str, archives: DataFrame, chunks: DataFrame, model: str = "hashing-sha256", fields: list[str] | None = None) -> str:
+    """Write the index snapshot: files, chunks with their place in the archive, postings sorted by term, vocabulary,
+    statistics, one vector for each chunk, and the settings that an update uses again."""
     name = F.get_json_object("archive_metadata", "$.source_filename")
     rows = chunks.join(archives.select("archive_id", name.alias("source_filename"), "embedding_model"), "archive_id")
-    return store.publish(spark, root, {"files": files, "chunks": rows}, partition_by={"chunks": ["embedding_model"]})
+    rows = cut_lineage(fusion.with_position(rows, "archive_id", "seq", KEY))
+    fields = fields or FIELDS
+    tokens = cut_lineage(keyword.token_table(rows, KEY, fields, []))
+    posted = cut_lineage(keyword.postings(tokens, []))
+    vectors = semantic.sparse_vectors(rows.select(F.col(KEY).alias("id"), "text"), "id", get_embedder(model)).join(rows.select(F.col(KEY).alias("id"), "embedding_model"), "id")
+    settings = spark.createDataFrame([(model, ",".join(fields))], "model string, fields string")
+    tables = {
+        "files": file_table(archives), "chunks": rows, "vectors": vectors, "settings": settings, "statistics": keyword.statistics(tokens, []),
+        "vocabulary": posted.groupBy("term").agg(F.count("*").alias("df")), "postings": posted.repartitionByRange("term").sortWithinPartitions("term"),
+    }
+    return store.publish(spark, root, tables, partition_by={"chunks": ["embedding_model"], "vectors": ["embedding_model"]})
+
+
+def index_status(spark: SparkSession, root: str, archives: DataFrame) -> DataFrame:
+    """path, reason (new, missing, changed) for files that differ from the index; no rows if it is fresh."""
+    now, then = file_table(archives).select("relative_path", F.col("hash").alias("now")), store.read(spark, root, "files").select("relative_path", F.col("hash").alias("then"))
+    reason = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("then"), "changed")
+    return now.join(then, "relative_path", "full_outer").select(F.col("relative_path").alias("path"), reason.alias("reason")).where("reason is not null")
+
+
+def update_index(spark: SparkSession, root: str, archives: DataFrame, chunks: DataFrame) -> str | None:
+    """Build again with the settings of the current index if it is stale; old snapshots go. None if it was fresh."""
+    if index_status(spark, root, archives).isEmpty():
+        return None
+    settings = store.read(spark, root, "settings").first()
+    at = build_index(spark, root, archives, chunks, settings.model, settings.fields.split(","))
+    store.collect_garbage(spark, root)
+    return at
 
 
 @dataclass
 class Corpus:
-    """All archives of a library; one call answers many queries (query_id, query_text)."""
+    """All archives of a library; one call answers many queries (query_id, query_text).
+
+    With `index` (the tables of build_index) nothing is tokenized or embedded but the queries. Scores are rounded to
+    `digits` before ranking, so that ties don't hang on the order of additions.
+    """
 
     archives: DataFrame
     chunks: DataFrame
     embedder: Embedder
+    index: dict[str, DataFrame] | None = None
+    digits: int = 9
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, model: str = "hashing-sha256") -> Corpus:
-        """Open the current index of a library."""
-        return cls(store.read(spark, root, "files"), store.read(spark, root, "chunks"), get_embedder(model))
+    def open(cls, spark: SparkSession, root: str, archives: DataFrame | None = None) -> Corpus:
+        """Open the current index of a library; an error if it is stale against `archives`."""
+        if archives is not None and not index_status(spark, root, archives).isEmpty():
+            raise RuntimeError("the index is stale")
+        tables = {t: store.read(spark, root, t) for t in ("files", "chunks", "vectors", "settings", "statistics", "vocabulary", "postings")}
+        return cls(tables["files"], tables["chunks"], get_embedder(tables["settings"].first().model), tables)
 
     def keyword(self, queries: DataFrame) -> DataFrame:
-        return keyword.keyword_scores(self.chunks, queries, KEY)
+        """query_id, id, score of every hit; over all fields with an index, over the text without."""
+        scored = keyword.scores(keyword.Source(stored=self.index), queries) if self.index else keyword.keyword_scores(self.chunks, queries, KEY)
+        return scored.withColumn("score", F.round("score", self.digits))
+
+    def vectors(self) -> DataFrame:
+        return self.index["vectors"].select("id", "buckets", "amounts") if self.index else semantic.sparse_vectors(self.chunks.select(F.col(KEY).alias("id"), "text"), "id", self.embedder)
 
-    def semantic(self, queries: DataFrame) -> DataFrame:
-        return semantic.sparse_scores(self.chunks, queries, KEY, self.embedder)
+    def semantic(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, id, rank, score of the k best."""
+        return semantic.sparse_top_k(self.vectors(), queries, k, self.embedder)
 
     def search(self, queries: DataFrame, mode: str = "hybrid", k: int = 10) -> DataFrame:
         """query_id, id, rank, score, semantic_score, keyword_score."""
@@ -48,12 +99,13 @@ class Corpus:
         if not 0 <= k <= 10000:
             raise ValueError("top_k must be from 0 to 10000")
         none = F.lit(None).cast("double")
+        n = fusion.candidates(k) if mode == "hybrid" else max(k, 1)
+        s = self.semantic(queries, n) if mode != "keyword" else None
+        w = fusion.top_k(self.keyword(queries), n, ["query_id"], ["id"]) if mode != "semantic" else None
         if mode != "hybrid":
-            scored = self.keyword(queries) if mode == "keyword" else self.semantic(queries)
             own, other = ("keyword_score", "semantic_score") if mode == "keyword" else ("semantic_score", "keyword_score")
-            return fusion.top_k(scored, k, ["query_id"], ["id"]).select("query_id", "id", "rank", "score", F.col("score").alias(own), none.alias(other))
-        n = fusion.candidates(k)
-        s, w = fusion.top_k(self.semantic(queries), n, ["query_id"], ["id"]), fusion.top_k(self.keyword(queries), n, ["query_id"], ["id"])
+            return (w if mode == "keyword" else s).where(F.col("rank") <= k).select("query_id", "id", "rank", "score", F.col("score").alias(own), none.alias(other))
+        s, w = cut_lineage(s), cut_lineage(w)
         fused = fusion.top_k(fusion.rrf([s, w], ["query_id"]), k, ["query_id"], ["id"])
         parts = [x.select("query_id", "id", F.col("score").alias(c)) for x, c in ((s, "semantic_score"), (w, "keyword_score"))]
         return fused.join(parts[0], ["query_id", "id"], "left").join(parts[1], ["query_id", "id"], "left")
