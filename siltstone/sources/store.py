@@ -67,3 +67,9 @@ def collect_garbage(spark: SparkSession, root: str) -> int:
         if name.startswith("snapshot-") and keep and not keep.endswith(name):
             n += bool(fs.delete(status.getPath(), True))
     return n
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders right below root, sorted."""
+    fs, p = _fs(spark, root)
+    return sorted(f"{root}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
