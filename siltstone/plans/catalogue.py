@@ -431,7 +431,11 @@ def heading_paths(spark, d):
     return chunking.heading_paths(table(spark, d, "ingest_blocks"), ["archive_id"], ["page_number", "sort_order", "block_row_id"]).select("block_row_id", "heading_path")
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT page_row_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ')), lambda l: length(l) > 0 AND length(l) < 120
+  AND regexp_matches(l, '(?i)^(chapter|section|article|part|appendix|stormwater|zoning|[0-9]+(?:\.[0-9]+)*)\b')) AS ls FROM parsed_pages)
+SELECT page_row_id, ls[1] AS heading FROM l"""
+)
 def page_headings(spark, d):
     return table(spark, d, "parsed_pages").select("page_row_id", heading_line(F.col("text")).alias("heading"))
 
@@ -484,7 +488,14 @@ def metadata_where_json(spark, d):
     return table(spark, d, "events").where(where_equals(F.col("props"), {"k": 7})).select("event_id", "event_type", "value")
 
 
-@query()
+_CITED = "CASE WHEN json_type(m, '$.{0}') IN ({1}) THEN {2} END AS {0}"
+
+
+@query(
+    "SELECT chunk_row_id, "
+    + ", ".join([_CITED.format(k, "'UBIGINT', 'BIGINT'", f"CAST(json_extract(m, '$.{k}') AS INTEGER)") for k in ("page_start", "page_end")] + [_CITED.format(k, "'VARCHAR'", f"json_extract_string(m, '$.{k}')") for k in ("heading_path", "source_filename", "document_id")])
+    + " FROM (SELECT chunk_row_id, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM ingest_chunks)"
+)
 def citations(spark, d):
     return _chunks(spark, d).select("chunk_row_id", *citation(F.col("metadata")))
 
@@ -639,7 +650,11 @@ def nearest_captions(spark, d):
     return layout.nearest_captions(table(spark, d, "ingest_blocks"))
 
 
-@query()
+@query(
+    r"""SELECT DISTINCT t.block_row_id FROM ingest_blocks t JOIN ingest_blocks i USING (archive_id, page_number) WHERE t.block_type IN ('paragraph', 'heading', 'caption') AND i.block_type = 'image' AND t.bbox IS NOT NULL AND i.bbox IS NOT NULL
+AND regexp_matches(trim(string_split(t.text, chr(10))[1], ' '), '(?i)^(figure|fig\.?|table|diagram|exhibit|chart|map|photo|illustration|plate|drawing)\s*[0-9]+([.:\-\x{2013}]|\s|$)') AND length(t.text) <= 500
+AND greatest(0.0, i.bbox[2] - t.bbox[4], t.bbox[2] - i.bbox[4]) <= 60"""
+)
 def mark_captions(spark, d):
     return layout.captions(table(spark, d, "ingest_blocks").withColumn("block_type", F.when(F.col("block_type") == "caption", "paragraph").otherwise(F.col("block_type"))))
 
@@ -660,14 +675,26 @@ def image_chunks(spark, d):
     return layout.image_chunks(table(spark, d, "ingest_blocks"), _chunks(spark, d))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT archive_id, chunk_row_id, unnest(block_ids) AS block_id, generate_subscripts(block_ids, 1) - 1 AS place FROM ingest_chunks),
+b AS (SELECT archive_id, block_id, page_number, bbox FROM ingest_blocks WHERE block_type <> 'image' AND bbox IS NOT NULL QUALIFY row_number() OVER (PARTITION BY archive_id, block_id ORDER BY block_row_id) = 1),
+s AS (SELECT archive_id, page_number, width, height FROM parsed_pages QUALIFY row_number() OVER (PARTITION BY archive_id, page_number ORDER BY page_row_id) = 1)
+SELECT chunk_row_id, string_agg(r.block_id || '@' || CAST(b.page_number AS VARCHAR) || '/' || CAST(round(bbox[1] * 10) AS BIGINT) || '/' || coalesce(CAST(round(width * 10) AS BIGINT), -1), ' ' ORDER BY place) AS regions
+FROM r JOIN b USING (archive_id, block_id) LEFT JOIN s ON s.archive_id = r.archive_id AND s.page_number = b.page_number GROUP BY 1"""
+)
 def chunk_regions(spark, d):
-    return layout.regions(_chunks(spark, d), table(spark, d, "ingest_blocks"), table(spark, d, "parsed_pages"))
+    """Regions in one line each: block@page/left edge/page width in tenths of a point."""
+    found = layout.regions(_chunks(spark, d), table(spark, d, "ingest_blocks"), table(spark, d, "parsed_pages"))
+    tenths = lambda x: F.round(x * 10).cast("long").cast("string")
+    line = lambda r: F.concat(r["block_id"], F.lit("@"), r["page_number"].cast("string"), F.lit("/"), tenths(F.get(r["bbox"], F.lit(0))), F.lit("/"), F.coalesce(tenths(r["page_width"]), F.lit("-1")))
+    return found.select("chunk_row_id", F.array_join(F.transform("regions", line), " ").alias("regions"))
 
 
-@query("SELECT block_row_id FROM ingest_blocks WHERE block_type = 'image' AND image_bytes IS NOT NULL QUALIFY row_number() OVER (PARTITION BY archive_id, sha256(image_bytes) ORDER BY block_row_id) > 1")
+@query("SELECT block_row_id FROM ingest_blocks WHERE block_type = 'image' AND image_bytes IS NOT NULL QUALIFY row_number() OVER (PARTITION BY archive_id, octet_length(image_bytes) ORDER BY block_row_id) > 1")
 def repeated_images(spark, d):
-    return layout.repeated_images(table(spark, d, "ingest_blocks"))
+    """Images of equal size take the bytes of one another, since the tables repeat none."""
+    blocks = table(spark, d, "ingest_blocks")
+    return layout.repeated_images(blocks.withColumn("image_bytes", F.when(F.col("image_bytes").isNotNull(), F.octet_length("image_bytes").cast("string").cast("binary"))))
 
 
 @query(
