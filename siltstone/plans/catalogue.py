@@ -12,7 +12,7 @@ from siltstone.functions import vectors
 from siltstone.functions.embed import get_embedder
 from siltstone.functions.metadata import citation, where_equals
 from siltstone.functions.text import ACCENTED, PLAIN, glob_match, heading_line, index_tokens, page_selection
-from siltstone.operators import chunking, evaluation, fusion, keyword, layout, quality, records, semantic
+from siltstone.operators import best_hits, chunking, evaluation, fusion, keyword, layout, quality, records, semantic
 from siltstone.plans import library
 from siltstone.session import cut_lineage, ensure_checkpoint_dir, table
 
@@ -90,7 +90,7 @@ def _top(scored: DataFrame, k: int = K) -> DataFrame:
 
 @query(_GLOBAL + _TOP.format("scored", K))
 def keyword_topk_global(spark, d):
-    return _top(keyword.keyword_scores(_chunks(spark, d), _cases(spark, d), "chunk_row_id"))
+    return best_hits.best_hits(_chunks(spark, d), _cases(spark, d), "chunk_row_id", K).select("query_id", "id", "rank", _score())
 
 
 @query(
