@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import values
-from siltstone.operators import archive, chunking, fusion, layout, records, retrieval
+from siltstone.operators import archive, best_hits, chunking, fusion, layout, records, retrieval
 from siltstone.plans import library
 from siltstone.plans.catalogue import _AREA, _BY_ARCHIVE, _GLOBAL, _HASHED_ALL, _INTER, _TOP, K, _cases, _chunks, _rounded_corpus, _score, _top, query
 from siltstone.session import table
@@ -366,9 +366,9 @@ SELECT query_id, id, rank, 'C' || CAST(4 + row_number() OVER (PARTITION BY query
 )
 def agent_retrieval(spark, d):
     """Hits that the session hasn't seen, cut at the balanced quality, labelled on from C4."""
-    hits = _top(_rounded_corpus(spark, d).keyword(_cases(spark, d)))
+    hits = best_hits.best_hits(_chunks(spark, d), _cases(spark, d), "chunk_row_id", K)
     seen = _chunks(spark, d).where("chunk_row_id % 3 = 0").select(F.col("chunk_row_id").alias("id"))
-    full = retrieval.fresh_hits(hits.join(_rounded_corpus(spark, d).keyword(_cases(spark, d)).select("query_id", "id", F.col("score").alias("exact")), ["query_id", "id"]).withColumn("score", F.col("exact")), seen, fusion.BALANCED, 4)
+    full = retrieval.fresh_hits(hits, seen, fusion.BALANCED, 4)
     return full.select("query_id", "id", "rank", "label")
 
 
