@@ -337,7 +337,7 @@ FROM best JOIN placed a ON a.chunk_row_id = best.id JOIN placed b ON b.archive_i
 )
 def context_window(spark, d):
     chunks = _chunks(spark, d)
-    hits = _top(keyword.keyword_scores(chunks, _cases(spark, d), "chunk_row_id")).drop("score")
+    hits = cut_lineage(best_hits.best_hits(chunks, _cases(spark, d), "chunk_row_id", K).drop("score"))
     placed = fusion.with_position(chunks.select("archive_id", "seq", "chunk_row_id"), "archive_id", "seq", "chunk_row_id").select("archive_id", "pos", F.col("chunk_row_id").alias("id"))
     near = fusion.neighbours(hits.join(placed, "id"), chunks.select("archive_id", "seq", "chunk_row_id"), "archive_id", "seq", 2, "chunk_row_id")
     return near.select("query_id", "id", "rank", "neighbour", "side", F.col("distance").cast("long").alias("distance"))

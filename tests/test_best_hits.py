@@ -48,7 +48,7 @@ def written(spark, tmp_path, run):
             spark.sparkContext.setCheckpointDir(before)
 
 
-QUERIES = ["keyword_topk_global", "agent_retrieval"]
+QUERIES = ["keyword_topk_global", "context_window", "agent_retrieval"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
