@@ -110,8 +110,7 @@ def keyword_index_fields(spark, d):
     """Library index: text, heading path and file name are indexed together."""
     name = F.get_json_object("archive_metadata", "$.source_filename").alias("source_filename")
     docs = _chunks(spark, d).join(table(spark, d, "archives").select("archive_id", name), "archive_id")
-    hits = keyword.keyword_scores(docs, _cases(spark, d), "chunk_row_id", ["text", "heading_path", "source_filename"])
-    top = fusion.top_k(hits.withColumn("score", F.round("score", 9)), K, ["query_id"], ["id"])
+    top = best_hits.best_hits(docs, _cases(spark, d), "chunk_row_id", K, ["text", "heading_path", "source_filename"])
     return top.select("query_id", "id", "rank", F.round(keyword.index_score(F.col("score")), 6).alias("score"))
 
 
