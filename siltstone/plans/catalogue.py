@@ -320,7 +320,7 @@ def mixed_model_rrf(spark, d):
 SELECT query_id, id, rank, round(score, 6) AS score, 'C' || CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS VARCHAR) AS label FROM ranked WHERE rank = 1 OR round(score, 9) >= 0.55 * round(best, 9)"""
 )
 def quality_cutoff_labels(spark, d):
-    top = fusion.top_k(keyword.keyword_scores(_chunks(spark, d), _cases(spark, d), "chunk_row_id").withColumn("score", F.round("score", 9)), K, ["query_id"], ["id"])
+    top = best_hits.best_hits(_chunks(spark, d), _cases(spark, d), "chunk_row_id", K)
     kept = fusion.quality_cutoff(top, ["query_id"], fusion.BALANCED, ["id"])
     return fusion.number_labels(kept, ["rank"], ["query_id"]).select("query_id", "id", "rank", _score(), "label")
 

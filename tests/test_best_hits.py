@@ -48,7 +48,7 @@ def written(spark, tmp_path, run):
             spark.sparkContext.setCheckpointDir(before)
 
 
-QUERIES = ["keyword_topk_global", "keyword_index_fields", "context_window", "agent_retrieval"]
+QUERIES = ["keyword_topk_global", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
