@@ -350,7 +350,7 @@ SELECT query_id, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || text, chr(10
 def evidence_list(spark, d):
     """Numbered evidence of the three best chunks of each query; texts join the few hits alone."""
     chunks = _chunks(spark, d)
-    hits = _top(keyword.keyword_scores(chunks, _cases(spark, d), "chunk_row_id"), 3).join(chunks.select(F.col("chunk_row_id").alias("id"), "text"), "id")
+    hits = cut_lineage(best_hits.best_hits(chunks, _cases(spark, d), "chunk_row_id", 3)).join(chunks.select(F.col("chunk_row_id").alias("id"), "text"), "id")
     lines = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"])), "\n").alias("evidence"))
 
