@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, get_embedder
-from siltstone.operators import archive, fusion, keyword, records, semantic
+from siltstone.operators import archive, best_hits, fusion, keyword, records, semantic
 from siltstone.session import cut_lineage
 from siltstone.sources import store
 
@@ -85,6 +85,10 @@ class Corpus:
         scored = keyword.scores(keyword.Source(stored=self.index), queries) if self.index else keyword.keyword_scores(self.chunks, queries, KEY)
         return scored.withColumn("score", F.round("score", self.digits))
 
+    def keyword_top(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, id, rank, score of the k best."""
+        return fusion.top_k(self.keyword(queries), k, ["query_id"], ["id"]) if self.index else best_hits.best_hits(self.chunks, queries, KEY, k)
+
     def vectors(self) -> DataFrame:
         return self.index["vectors"].select("id", "buckets", "amounts") if self.index else semantic.sparse_vectors(self.chunks.select(F.col(KEY).alias("id"), "text"), "id", self.embedder)
 
@@ -101,7 +105,7 @@ class Corpus:
         none = F.lit(None).cast("double")
         n = fusion.candidates(k) if mode == "hybrid" else max(k, 1)
         s = self.semantic(queries, n) if mode != "keyword" else None
-        w = fusion.top_k(self.keyword(queries), n, ["query_id"], ["id"]) if mode != "semantic" else None
+        w = self.keyword_top(queries, n) if mode != "semantic" else None
         if mode != "hybrid":
             own, other = ("keyword_score", "semantic_score") if mode == "keyword" else ("semantic_score", "keyword_score")
             return (w if mode == "keyword" else s).where(F.col("rank") <= k).select("query_id", "id", "rank", "score", F.col("score").alias(own), none.alias(other))
