@@ -372,8 +372,12 @@ ranks AS (SELECT mode, query_id, first_rank FROM (SELECT DISTINCT mode FROM res)
 
 def _ranks(spark, d) -> DataFrame:
     corpus, cases = _rounded_corpus(spark, d), _cases(spark, d)
-    modes = [corpus.search(cases, m, K).select(F.lit(m).alias("mode"), "query_id", "id", "rank") for m in ("hybrid", "semantic", "keyword")]
-    results = corpus.hydrate(modes[0].unionByName(modes[1]).unionByName(modes[2]), ["archive_id", "page_start", "page_end", "text"])
+    # The lists of hybrid search begin with the results of the other modes.
+    n = fusion.candidates(K)
+    s, w = cut_lineage(corpus.semantic(cases, n)), cut_lineage(corpus.keyword_top(cases, n))
+    lists = {"hybrid": corpus.fused(s, w, K), "semantic": s.where(F.col("rank") <= K), "keyword": w.where(F.col("rank") <= K)}
+    modes = [x.select(F.lit(m).alias("mode"), "query_id", "id", "rank") for m, x in lists.items()]
+    results = corpus.hydrate(cut_lineage(modes[0].unionByName(modes[1]).unionByName(modes[2])), ["archive_id", "page_start", "page_end", "text"])
     return evaluation.first_ranks(results, cases)
 
 

@@ -110,6 +110,10 @@ class Corpus:
             own, other = ("keyword_score", "semantic_score") if mode == "keyword" else ("semantic_score", "keyword_score")
             return (w if mode == "keyword" else s).where(F.col("rank") <= k).select("query_id", "id", "rank", "score", F.col("score").alias(own), none.alias(other))
         s, w = cut_lineage(s), cut_lineage(w)
+        return self.fused(s, w, k)
+
+    def fused(self, s: DataFrame, w: DataFrame, k: int) -> DataFrame:
+        """The hybrid result of a semantic and a keyword list (query_id, id, rank, score)."""
         fused = fusion.top_k(fusion.rrf([s, w], ["query_id"]), k, ["query_id"], ["id"])
         parts = [x.select("query_id", "id", F.col("score").alias(c)) for x, c in ((s, "semantic_score"), (w, "keyword_score"))]
         return fused.join(parts[0], ["query_id", "id"], "left").join(parts[1], ["query_id", "id"], "left")

@@ -48,7 +48,7 @@ def written(spark, tmp_path, run):
             spark.sparkContext.setCheckpointDir(before)
 
 
-QUERIES = ["keyword_topk_global", "hybrid_rrf_corpus", "evidence_list", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
+QUERIES = ["keyword_topk_global", "eval_first_ranks", "hybrid_rrf_corpus", "evidence_list", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
