@@ -100,9 +100,8 @@ SELECT query_id, archive_id, id, file_rank, row_number() OVER (PARTITION BY quer
 )
 def keyword_per_archive_topk(spark, d):
     """Fan-out: statistics and best rows per archive, merged by score, then by their rank there."""
-    scored = keyword.keyword_scores(_chunks(spark, d), _cases(spark, d), "chunk_row_id", by=["archive_id"]).withColumn("score", F.round("score", 9))
-    best = fusion.top_k(scored, FILE_K, ["query_id", "archive_id"], ["id"]).withColumnRenamed("rank", "file_rank")
-    return fusion.top_k(best, K, ["query_id"], ["file_rank", "archive_id", "id"]).select("query_id", "archive_id", "id", "file_rank", "rank", _score())
+    best = best_hits.best_hits_by(_chunks(spark, d), _cases(spark, d), "chunk_row_id", K, "archive_id", FILE_K).withColumnRenamed("group_rank", "file_rank")
+    return best.select("query_id", "archive_id", "id", "file_rank", "rank", _score())
 
 
 @query(_INDEX + f"SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, round(1 + score, 6) AS score FROM scored QUALIFY rank <= {K}")

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,9 +27,8 @@ def plain(df, *columns):
     return sorted((*[r[c] for c in columns], r["rank"], round(r["score"], 8)) for r in df.collect())
 
 
-@pytest.mark.parametrize("segment", [16384, 30])
 @pytest.mark.parametrize("fallback", [True, False])
-def test_best_hits_like_all_scores(spark, monkeypatch, segment, fallback):
+def test_best_hits_like_all_scores(spark, monkeypatch, fallback):
     monkeypatch.setattr(best_hits, "BLOCK", 7)
     every = keyword.keyword_scores(chunks(spark), cases(spark), "id", fallback=fallback).withColumn("score", F.round("score", 9))
     wanted = plain(fusion.top_k(every, 5, ["query_id"], ["id"]), "query_id", "id")
@@ -36,6 +36,29 @@ def test_best_hits_like_all_scores(spark, monkeypatch, segment, fallback):
     assert plain(best_hits.best_hits(chunks(spark), cases(spark), "id", 5, fallback=fallback), "query_id", "id") == wanted
 
 
+@pytest.mark.parametrize("big", [16384, 57])
+@pytest.mark.parametrize("per_group", [None, 2])
+def test_best_hits_by_group_like_all_scores(spark, monkeypatch, big, per_group):
+    monkeypatch.setattr(best_hits, "BIG_GROUP", big)
+    every = keyword.keyword_scores(chunks(spark), cases(spark), "id", by=["archive_id"]).withColumn("score", F.round("score", 9))
+    ranked = fusion.top_k(every, per_group or 1000, ["query_id", "archive_id"], ["id"]).withColumnRenamed("rank", "file_rank")
+    wanted = plain(fusion.top_k(ranked, 9, ["query_id"], [*(["file_rank"] if per_group else []), "archive_id", "id"]), "query_id", "archive_id", "id")
+    assert len({r[0] for r in wanted}) > 8
+    assert plain(best_hits.best_hits_by(chunks(spark), cases(spark), "id", 9, "archive_id", per_group), "query_id", "archive_id", "id") == wanted
+
+
+def test_segments_part_between_groups_only(monkeypatch):
+    monkeypatch.setattr(best_hits, "SEGMENT", 10)
+    monkeypatch.setattr(best_hits, "SLICE", 4)
+    groups = sorted(f"g{i % 5 if i < 30 else 9}" for i in range(60))
+    batches = [pa.RecordBatch.from_pydict({"a": pa.array(groups[i : i + 13]), "id": pa.array(range(i, min(i + 13, 60)), pa.int64()), "length": pa.array([3] * min(13, 60 - i), pa.int32()), "phrases": pa.array([[0, 1]] * min(13, 60 - i), pa.list_(pa.int32())), "tfs": pa.array([[1, i]] * min(13, 60 - i), pa.list_(pa.int32()))}) for i in range(0, 60, 13)]
+    plan = best_hits.Plan([(1, "b a")])
+    found = list(best_hits._segments(iter(batches), plan, best_hits._from_compact("a"), True))
+    assert len(found) > 2 and [i for s in found for i in s.ids] == list(range(60))
+    assert not any(set(a.groups) & set(b.groups) for a in found for b in found if a is not b)
+    assert all(list(s.of(p)) == list(range(len(s.ids))) for s in found for p in (0, 1))
+
+
 def written(spark, tmp_path, run):
     """Bytes of checkpoints that a call writes."""
     before = spark.sparkContext.getCheckpointDir()
@@ -48,7 +71,7 @@ def written(spark, tmp_path, run):
             spark.sparkContext.setCheckpointDir(before)
 
 
-QUERIES = ["keyword_topk_global", "eval_first_ranks", "hybrid_rrf_corpus", "evidence_list", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
+QUERIES = ["keyword_topk_global", "keyword_per_archive_topk", "eval_first_ranks", "hybrid_rrf_corpus", "evidence_list", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
