@@ -237,3 +237,12 @@ def test_heads_in_ordinary_case(spark, title):
     archives = spark.createDataFrame([("a", None, "{}" if title is None else '{"title": "' + title + '"}')], "archive_id string, site string, archive_metadata string")
     got = scan_noise.heads_and_labels(texts, archives, texts).where("defect = 'running_head'").select("record_kind", "row_id").collect()
     assert sorted(map(tuple, got)) == [("block", 1)] + [("page", i) for i in range(2, 13)]
+
+
+def test_excessive_keys_have_no_idle_stage(spark):
+    """Only the exact rule counts: each line's archives, the site's size; nothing is aggregated that can't drop a line."""
+    texts = spark.createDataFrame([("page", i, f"a{i}", 1, "The same notice here\nown line number " + "x" * (i + 1)) for i in range(8)], "record_kind string, row_id bigint, archive_id string, page_number int, text string")
+    archives = spark.createDataFrame([(f"a{i}", "s") for i in range(8)], "archive_id string, site string")
+    found = site_lines.excessive_keys(texts, archives)
+    assert [(r.site, r.n_archives) for r in found.collect()] == [("s", 8)]
+    assert "leaf" not in found._jdf.queryExecution().analyzed().toString()
