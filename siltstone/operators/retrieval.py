@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, get_embedder
-from siltstone.operators import fusion, keyword, semantic
+from siltstone.operators import best_hits, fusion, semantic
 
 
 def fanout_hybrid(docs: DataFrame, queries: DataFrame, id_column: str, k: int, embedder: Embedder | None = None, archive: str = "archive_id") -> DataFrame:
@@ -14,13 +14,12 @@ def fanout_hybrid(docs: DataFrame, queries: DataFrame, id_column: str, k: int, e
 
     Keyword statistics are those of each archive. Ties go by archive, then id.
     """
-    n = fusion.candidates(k)
-    s = semantic.sparse_scores(docs, queries, id_column, embedder or get_embedder("hashing-sha256")).join(docs.select(F.col(id_column).alias("id"), archive), "id")
-    w = keyword.keyword_scores(docs, queries, id_column, by=[archive])
-    lists = []
-    for scored in (s, w):
-        own = fusion.top_k(scored.withColumn("score", F.round("score", 9)), n, ["query_id", archive], ["id"]).drop("rank")
-        lists.append(fusion.top_k(own, n, ["query_id"], [archive, "id"]))
+    n, embedder = fusion.candidates(k), embedder or get_embedder("hashing-sha256")
+    # What is among the n best of all archives is so in its own: both lists are cut at once.
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(archive, F.lit("")).alias("archive"), "text")
+    s = semantic.sparse_top_k(semantic.sparse_vectors(texts, "id", embedder, ["archive"]), queries, n, embedder, "archive")
+    w = best_hits.best_hits_by(docs, queries, id_column, n, archive)
+    lists = [x.select("query_id", "id", "rank") for x in (s, w)]
     return fusion.rrf(lists, ["query_id"])
 
 

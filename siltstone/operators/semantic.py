@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, sparse_embed
+from siltstone.functions.text import hashing_tokens
 from siltstone.operators import fusion
 from siltstone.session import cut_lineage
 
 BLOCK = 4096
+#: Up to so many different words are sent to all tasks with their buckets.
+MOST_WORDS = 500_000
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, query_id: str, keep: list[str] | None = None) -> DataFrame:
@@ -92,14 +96,9 @@ def _blocks(rows: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores, ties by id."""
-    order = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
-    return order[np.lexsort((ids[order], -scores[order]))][:k]
-
-
-def best_products(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, matrix, shared_only: bool) -> DataFrame:
-    """query_id, id, rank, score (9 decimals): the k best cosines of every query over all vectors.
+def best_products(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, matrix, shared_only: bool, tie: str | None = None) -> DataFrame:
+    """query_id, id, rank, score (9 decimals): the k best cosines of every query over all vectors. Ties go by the string
+    column `tie`, if one is named, then by id.
 
     Each task keeps k rows a query, so nothing near queries times vectors is ever written. matrix turns a batch of either
     side (its pandas columns beside the ids) into a dense matrix of unit rows. shared_only: vectors without a common
@@ -112,26 +111,31 @@ def best_products(vectors: DataFrame, queries: DataFrame, k: int, dimension: int
 
         def multiply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype="int64"))] * len(ids)
+            kept: list[tuple[np.ndarray, ...]] = [(np.empty(0), np.empty(0, dtype="int64"), np.empty(0, dtype=str))] * len(ids)
             known = (q != 0).astype("float32")
             for pdf in batches:
                 m, own = matrix(pdf, dimension), pdf["id"].to_numpy()
+                first = pdf[tie].to_numpy().astype(str) if tie else np.zeros(len(pdf), dtype="U1")
                 found = np.round(m @ q.T, 9) + 0.0
                 hits = ((m != 0).astype("float32") @ known.T > 0) if shared_only else None
                 for j in range(len(ids)):
-                    here = slice(None) if hits is None else hits[:, j]
-                    s, i = np.concatenate([kept[j][0], found[here, j]]), np.concatenate([kept[j][1], own[here]])
-                    at = _best(s, i, k)
-                    kept[j] = (s[at], i[at])
-            yield pd.DataFrame({"query_id": np.repeat(ids, [len(s) for s, _ in kept]), "id": np.concatenate([i for _, i in kept]), "score": np.concatenate([s for s, _ in kept])})
-
-        parts.append(vectors.mapInPandas(multiply, "query_id bigint, id bigint, score double"))
+                    here = np.arange(len(own)) if hits is None else np.flatnonzero(hits[:, j])
+                    own_scores = found[here, j]
+                    if len(here) > k:
+                        good = np.flatnonzero(own_scores >= np.partition(own_scores, -k)[-k])
+                        here, own_scores = here[good], own_scores[good]
+                    s, i, t = (np.concatenate(x) for x in zip(kept[j], (own_scores, own[here], first[here])))
+                    at = np.lexsort((i, t, -s))[:k]
+                    kept[j] = (s[at], i[at], t[at])
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(x[0]) for x in kept]), "id": np.concatenate([x[1] for x in kept]), "score": np.concatenate([x[0] for x in kept]), "tie": np.concatenate([x[2] for x in kept]).astype(object)})
+
+        parts.append(vectors.mapInPandas(multiply, "query_id bigint, id bigint, score double, tie string"))
     if not parts:
         return spark.createDataFrame([], "query_id bigint, id bigint, rank bigint, score double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return fusion.top_k(out, k, ["query_id"], ["id"]).select("query_id", "id", "rank", "score")
+    return fusion.top_k(out, k, ["query_id"], ["tie", "id"]).select("query_id", "id", "rank", "score")
 
 
 def _dense(pdf: pd.DataFrame, dimension: int) -> np.ndarray:
@@ -156,14 +160,46 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, id_column: str, vector_c
     return best_products(own, q, k, dimension, _dense, False)
 
 
-def sparse_vectors(texts: DataFrame, key: str, embedder: Embedder) -> DataFrame:
-    """key, buckets, amounts: a text's hashing vector without zeros, at most `dimension` of them; texts without words are left out."""
-    each = sparse_embed(texts, [key], embedder)
-    packed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("b"))
-    return packed.select(key, F.col("b.bucket").alias("buckets"), F.col("b.value").alias("amounts"))
-
-
-def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int, embedder: Embedder) -> DataFrame:
+def _vectors_in_place(words: DataFrame, rest: list[str], vocabulary: DataFrame, dimension: int) -> DataFrame:
+    """As sparse_vectors, each text in its task: only the hashed vocabulary is sent, no word is shuffled."""
+    known = words.sparkSession.sparkContext.broadcast({r.word: (r.bucket, r.sign) for r in vocabulary.toLocalIterator()})
+    kinds = dict(words.dtypes)
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("words")
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(codes):
+                continue
+            bucket, sign = np.array([known.value[w] for w in coded.dictionary.to_pylist()], dtype=np.int64).T
+            doc = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            at, where = np.unique(doc * dimension + bucket[codes], return_inverse=True)
+            value = np.bincount(where, weights=sign[codes], minlength=len(at))
+            at, value = at[value != 0], value[value != 0]
+            docs, first = np.unique(at // dimension, return_index=True)
+            offsets = pa.array(np.r_[first, len(at)].astype(np.int32))
+            held = [b.column(c).take(pa.array(docs)) for c in rest]
+            made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((at % dimension).astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([*held, *made], names=[*rest, "buckets", "amounts"])
+
+    return words.mapInArrow(embed, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "buckets array<int>", "amounts array<double>"]))
+
+
+def sparse_vectors(texts: DataFrame, key: str, embedder: Embedder, keep: list[str] | None = None) -> DataFrame:
+    """key, keep..., buckets, amounts: a text's hashing vector without zeros, at most `dimension` of them; texts without words are left out."""
+    rest = [key, *(keep or [])]
+    words = texts.select(*rest, hashing_tokens(F.col("text")).alias("words")).where("words is not null")
+    vocabulary = words.select(F.explode("words").alias("word")).distinct().withColumn("b", embedder.bucket_of(F.col("word"), embedder.dimension))
+    vocabulary = cut_lineage(vocabulary.select("word", "b.bucket", "b.sign"))
+    if vocabulary.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+        return _vectors_in_place(words, rest, vocabulary, embedder.dimension)
+    each = sparse_embed(texts, rest, embedder)
+    packed = each.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("b"))
+    return packed.select(*rest, F.col("b.bucket").alias("buckets"), F.col("b.value").alias("amounts"))
+
+
+def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int, embedder: Embedder, tie: str | None = None) -> DataFrame:
     """query_id, id, rank, score over sparse_vectors (id, buckets, amounts) that share a bucket with the query."""
     q = cut_lineage(sparse_vectors(queries.select("query_id", F.col("query_text").alias("text")), "query_id", embedder))
-    return best_products(vectors, q, k, embedder.dimension, _sparse, True)
+    return best_products(vectors, q, k, embedder.dimension, _sparse, True, tie)

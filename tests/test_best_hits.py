@@ -71,7 +71,7 @@ def written(spark, tmp_path, run):
             spark.sparkContext.setCheckpointDir(before)
 
 
-QUERIES = ["keyword_topk_global", "keyword_per_archive_topk", "eval_first_ranks", "hybrid_rrf_corpus", "evidence_list", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
+QUERIES = ["keyword_topk_global", "keyword_per_archive_topk", "fanout_hybrid", "eval_first_ranks", "hybrid_rrf_corpus", "evidence_list", "quality_cutoff_labels", "keyword_index_fields", "context_window", "agent_retrieval"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -91,3 +91,16 @@ def test_no_hits_are_written(spark, tmp_path, name):
     asked.selectExpr("*", "array(1) AS expected_pages", "1 AS expected_page", "array('basin') AS expected_terms").coalesce(1).write.parquet(f"{d}/query_cases.parquet")
     size = sum(os.path.getsize(f) for f in glob.glob(f"{d}/**/part-*.parquet", recursive=True))
     assert written(spark, tmp_path / "checkpoints", lambda: catalogue.QUERIES[name](spark, d)) < 20 * size
+
+
+def test_vectors_in_place_like_shuffled_ones(spark, monkeypatch):
+    from siltstone.functions.embed import get_embedder
+    from siltstone.operators import semantic
+
+    texts = chunks(spark).unionByName(spark.createDataFrame([(900, "x", ""), (901, "x", "?"), (902, None, "basin")], "id bigint, archive_id string, text string"))
+    for model in ("hashing", "hashing-sha256:7"):
+        made = lambda: sorted((r.id, str(r.archive_id), r.buckets, r.amounts) for r in semantic.sparse_vectors(texts, "id", get_embedder(model), ["archive_id"]).collect())  # noqa: B023, E731
+        monkeypatch.setattr(semantic, "MOST_WORDS", 500_000)
+        own = made()
+        monkeypatch.setattr(semantic, "MOST_WORDS", 1)
+        assert own == made() and len(own) > 380
