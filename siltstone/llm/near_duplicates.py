@@ -16,6 +16,9 @@ counted on whole texts, where the bound always holds; runs of three fall short o
 2.4e-4 (k = 96, by simulation: mean 20, bound 4). The union estimate has a standard deviation of sqrt(s(1-s)/k) = 0.05;
 the margin is five of them. Thresholds below 0.6 are refused, since these bounds don't hold there.
 
+List entries are shuffled once, packed as sorted keys of 48 bits; keys that only one text has go no further. Equal keys of
+different runs of values (9e-5 of the keys among 6e9) only make candidates, which are verified.
+
 Long lists are cut into parts of SALT texts that meet the whole list in tasks of their own. Joins on growing sides never
 broadcast. Shingles are only kept for texts that have a candidate; all others are known by their sketches.
 
@@ -28,8 +31,12 @@ apart, which are in one class (null and empty texts are classes of one row each)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +45,8 @@ from siltstone.session import cut_lineage
 
 SHINGLE, THRESHOLD, SKETCH, MARGIN = 5, 0.8, 96, 0.25
 PAIR_RUNS, WHOLE_RUNS, SHARED, SALT = 24, 48, 2, 1024
+#: Bits of a list key; texts that are packed together; entries a task meets at once; bits of a set of ids and of a map of them.
+KEY_BITS, MOST_PLACES, BUCKET_ENTRIES, ID_BITS, MAP_BITS = 48, 65536, 2**20, 2**26, 2**15
 
 
 def words(text: Column) -> Column:
@@ -88,47 +97,162 @@ def least_shared(run: int, n: Column, threshold: float, k: int) -> Column:
     return F.greatest(bound.cast("int"), F.lit(1))
 
 
-def _list_keys(rows: DataFrame, members: DataFrame, threshold: float, k: int) -> DataFrame:
-    """class_id, key, texts, run: the list entries of every class that it may need to meet a similar one."""
-    n, size = F.col("n"), F.size("sketch")
-    shortest = F.ceil(n * F.lit(threshold))  # of the texts it may resemble
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Well-mixed 64 bits (splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _keys_of(values: np.ndarray, sizes: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """doc (place in the batch) and key of all list entries of texts with n shingles, whose sketches follow each other in values.
+
+    A key has KEY_BITS bits, the last two of them its run, so that an entry is two numbers.
+    """
+    shortest = np.ceil(n * threshold)  # of the texts it may resemble
     runs = {1: shortest < PAIR_RUNS, 2: (n >= PAIR_RUNS) & (shortest < WHOLE_RUNS), 3: n >= WHOLE_RUNS}
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(values))  # values from here to the end of the sketch
+    docs, keys = [], []
+    for run, holds in runs.items():
+        at = np.flatnonzero(holds[doc] & (left >= run))
+        h = np.full(len(at), run, dtype=np.uint64)
+        for i in range(run):
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + values[at + i])
+        docs.append(doc[at])
+        keys.append((h >> np.uint64(64 - KEY_BITS)) & np.uint64(2**KEY_BITS - 4) | np.uint64(run))
+    return np.concatenate(docs), np.concatenate(keys)
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers as differences, byte by byte: the upper bytes of neighbours are alike and cost little once compressed."""
+    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(body: bytes, count: int, width: int) -> np.ndarray:
+    steps = np.zeros((count, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(width, count).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
 
-    def of(run: int) -> Column:
-        starts = F.when(runs[run] & (size >= run), F.sequence(F.lit(0), size - run)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(run), *[F.get("sketch", i + j) for j in range(run)]))
-
-    # The run of a key is in its last two bits, so that an entry is two numbers.
-    tagged = lambda run: F.transform(of(run), lambda h: h.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(run)))
-    posted = rows.select("id", F.explode(F.concat(*[tagged(run) for run in runs])).alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    kept = _met(posted, shared, ["key"]).withColumn("run", F.col("key").bitwiseAND(F.lit(3)))
-    own = _met(rows.select("id", "n"), members.where("id = class_id"), ["id"])
-    per_class = _met(kept, own, ["id"]).groupBy("class_id", "run", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys"))  # at most k
-    enough = reduce(lambda out, r: F.when(F.col("run") == r, least_shared(r, n, threshold, k)).otherwise(out), runs, F.lit(1))
+def packed_entries(rows: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    """bucket, entries, texts, keys, places, ids: the list entries of each task's texts, by range of their keys.
+
+    Keys are sorted; each comes with its text's place among the ids.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([x[0] for x in held])
+            shift = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+            doc, key = np.concatenate([x[1] + s for x, s in zip(held, shift)]), np.concatenate([x[2] for x in held])
+            by_id = np.argsort(ids, kind="stable")
+            place = np.empty(len(ids), dtype=np.int64)
+            place[by_id] = np.arange(len(ids))
+            ids, doc = ids[by_id], place[doc]
+            order = np.argsort(key)
+            doc, key = doc[order], key[order]
+            at = np.searchsorted(key, [np.uint64((b * 2**KEY_BITS + buckets - 1) // buckets) for b in range(buckets)] + [np.uint64(2**KEY_BITS)])
+            for b in np.flatnonzero(np.diff(at)):
+                own, known = doc[at[b] : at[b + 1]], key[at[b] : at[b + 1]]
+                used, where = np.unique(own, return_inverse=True)
+                bodies = [_planes(known, 8), where.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), _planes(ids[used].view(np.uint64), 8)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip([b, len(known), len(used), *bodies], [pa.int32()] * 3 + [pa.binary()] * 3)], names=["bucket", "entries", "texts", "keys", "places", "ids"])
+
+        for b in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            if held and sum(len(x[0]) for x in held) + b.num_rows > MOST_PLACES:
+                yield from made()
+                held = []
+            lists = b.column("sketch")
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append((b.column("id").to_numpy(), *_keys_of(values, np.diff(np.asarray(lists.offsets)), b.column("n").to_numpy(), threshold)))
+        if held:
+            yield from made()
+
+    return rows.select(F.col("id").cast("long").alias("id"), "n", "sketch").mapInArrow(pack, "bucket int, entries int, texts int, keys binary, places binary, ids binary")
+
+
+def shared_keys(rows: DataFrame, threshold: float) -> DataFrame:
+    """id, key, texts of the list entries whose key several texts have. Only packed entries are shuffled, once."""
+    spark = rows.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * SKETCH // BUCKET_ENTRIES)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for r in (r for b in batches for r in b.to_pylist()):
+            places = np.frombuffer(r["places"], dtype=np.uint8).reshape(2, r["entries"]).T.copy().view("<u2").ravel()
+            by_bucket.setdefault(r["bucket"], []).append((_from_planes(r["keys"], r["entries"], 8), _from_planes(r["ids"], r["texts"], 8).view(np.int64)[places]))
+        for parts in by_bucket.values():
+            key, ids = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key)
+            key, ids = key[order], ids[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            texts = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
+            held = texts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held]), pa.array(key[held].astype(np.int64)), pa.array(texts[held].astype(np.int64))], names=["id", "key", "texts"])
+
+    packed = packed_entries(rows, threshold, buckets)
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "id bigint, key bigint, texts bigint")
+
+
+def _list_keys(rows: DataFrame, members: DataFrame, threshold: float, k: int) -> DataFrame:
+    """class_id, n, enough, key, texts: the list entries of every class that it may need to meet a similar one."""
+    kept = shared_keys(rows, threshold).withColumn("run", F.col("key").bitwiseAND(F.lit(3)))
+    own = _met(rows.select("id", "n"), members.where("id = class_id").select("id"), ["id"])
+    n = F.col("n")
+    # By id, as they are joined: another name would be shuffled again.
+    per_class = _met(kept, own, ["id"]).groupBy("id", "run", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys"))  # at most k
+    enough = reduce(lambda out, r: F.when(F.col("run") == r, least_shared(r, n, threshold, k)).otherwise(out), (1, 2, 3), F.lit(1))
     spare = F.greatest(enough - SHARED, F.lit(0))
     listed = per_class.withColumn("keys", F.slice("keys", 1, F.greatest(F.size("keys") - spare, F.lit(0))))
-    return listed.select("class_id", "n", F.least(enough, F.lit(SHARED)).alias("enough"), F.explode("keys").alias("k")).select("class_id", "n", "enough", "k.key", "k.texts")
+    return listed.select(F.col("id").alias("class_id"), "n", F.least(enough, F.lit(SHARED)).alias("enough"), F.explode("keys").alias("k")).select("class_id", "n", "enough", "k.key", "k.texts")
 
 
 def candidate_pairs(rows: DataFrame, members: DataFrame, threshold: float, k: int) -> DataFrame:
     """class_a < class_b of the pairs that share enough keys."""
     keys = cut_lineage(_list_keys(rows, members, threshold, k))
+    # Both sides of the short lists are one shuffle; only long lists are salted.
+    short, long = keys.where(F.col("texts") <= SALT).select("key", "class_id", "enough", "n"), keys.where(F.col("texts") > SALT)
     parts = F.ceil(F.col("texts") / SALT).cast("int")
-    one = keys.select("key", F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("salt"), F.col("class_id").alias("class_a"), F.col("enough").alias("enough_a"), F.col("n").alias("n_a"))
-    all_ = keys.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("class_id").alias("class_b"), F.col("enough").alias("enough_b"), F.col("n").alias("n_b"))
-    pairs = _met(one, all_, ["key", "salt"]).where("class_a < class_b").where((F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")))
+    side = lambda df, s: df.withColumnsRenamed({c: f"{c}_{s}" for c in ("enough", "n")} | {"class_id": f"class_{s}"})
+    one = long.select("key", F.pmod(F.xxhash64("class_id"), parts).cast("int").alias("salt"), "class_id", "enough", "n")
+    all_ = long.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "class_id", "enough", "n")
+    met = _met(side(short, "a"), side(short, "b"), ["key"]).unionByName(_met(side(one, "a"), side(all_, "b"), ["key", "salt"]).drop("salt"))
+    pairs = met.where("class_a < class_b").where((F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")))
     counted = pairs.groupBy("class_a", "class_b").agg(F.count("*").alias("common"), F.least(F.min("enough_a"), F.min("enough_b")).alias("enough"))
     return counted.where("common >= enough").select("class_a", "class_b")
 
 
+def _likely_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id has its bit in a bitmap of `ids`, at most ID_BITS bits large: all of them and some others, so that a
+    join needs to shuffle few rows in vain."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    maps = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / MAP_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("bit") % MAP_BITS).alias("m"))
+    shared = df.sparkSession.sparkContext.broadcast({r.b: np.frombuffer(bytes(r.m), dtype=np.uint8) for r in maps.toLocalIterator()})
+
+    @F.pandas_udf("boolean")
+    def known(bits: pd.Series) -> pd.Series:
+        bits, out = bits.to_numpy(), np.zeros(len(bits), dtype=bool)
+        for b in np.unique(bits // MAP_BITS):
+            own = np.flatnonzero(bits // MAP_BITS == b)
+            if b in shared.value:
+                place = bits[own] % MAP_BITS
+                out[own] = shared.value[b][place // 8] >> (place % 8) & 1
+        return pd.Series(out)
+
+    return df.where(known(bit))
+
+
 def similar_classes(df: DataFrame, id_column: str, rows: DataFrame, members: DataFrame, threshold: float, shingle: int, k: int, margin: float = MARGIN) -> DataFrame:
     """class_a < class_b, similarity for all pairs of classes that reach the threshold."""
     if threshold < 0.6:
         raise ValueError("the bounds of the inverted lists hold from a similarity of 0.6 on")
     pairs = cut_lineage(candidate_pairs(rows, members, threshold, k))
     ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
-    texts = _met(df.select(F.col(id_column).alias("id"), "text"), ends, ["id"], "left_semi")
+    texts = _met(_likely_ids(df.select(F.col(id_column).alias("id"), "text"), ends), ends, ["id"], "left_semi")
     whole = cut_lineage(_tokens(texts, "id").select("id", shingle_hashes(F.col("tokens"), shingle).alias("shingles")))
     side = lambda s, n=None: whole.select(F.col("id").alias(f"class_{s}"), (F.slice("shingles", 1, n) if n else F.col("shingles")).alias(f"values_{s}"))
     both = _met(_met(pairs, side("a", k), ["class_a"]), side("b", k), ["class_b"])

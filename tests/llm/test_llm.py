@@ -246,3 +246,33 @@ def test_excessive_keys_have_no_idle_stage(spark):
     found = site_lines.excessive_keys(texts, archives)
     assert [(r.site, r.n_archives) for r in found.collect()] == [("s", 8)]
     assert "leaf" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_near_duplicates_shuffle_little(spark, monkeypatch):
+    """List entries are shuffled once and packed, texts without a candidate not at all; pairs equal those of all texts."""
+    vocabulary = [f"{a}{b}" for a in ("ba", "cu", "di", "fo", "gre", "ho") for b in ("sin", "rb", "tch", "let", "mit", "rm", "ad")]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(vocabulary) + str(rng.randrange(300)) for _ in range(rng.choice((15, 35, 70, 110)))) for _ in range(1500)]
+    for i in range(0, 1400, 100):
+        w = texts[i].split()
+        w[3:5] = ["another", "pair"]
+        texts[i + 50] = " ".join(w)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(4)
+    before = _shuffled(spark)
+    pairs = {tuple(r) for r in near_duplicates.similar_rows(df, "id", 0.6, 3).collect()}
+    written = _shuffled(spark) - before
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in map(str.split, texts)]
+    assert pairs == {(a, b) for b in range(1500) for a in range(b) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])} and len(pairs) > 8
+    assert written < 2 * sum(map(len, texts))
+    monkeypatch.setattr(near_duplicates, "SALT", 2)
+    monkeypatch.setattr(near_duplicates, "MOST_PLACES", 100)
+    monkeypatch.setattr(near_duplicates, "BUCKET_ENTRIES", 2000)
+    assert {tuple(r) for r in near_duplicates.similar_rows(df, "id", 0.6, 3).collect()} == pairs
+
+
+def _shuffled(spark):
+    """Bytes of shuffles written so far."""
+    jvm, empty = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, empty, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
