@@ -46,12 +46,6 @@ def statistics(tokens: DataFrame, by: list[str]) -> DataFrame:
     return tokens.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
 
 
-def postings(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """by..., id, len, term, positions: the inverted index of a token table."""
-    each = tokens.select(*by, "id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy(*by, "id", "len", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 class Source:
     """Where scoring reads: term occurrences, the vocabulary and the statistics of a token table or of a stored index."""
 
@@ -65,10 +59,13 @@ class Source:
         return self.stored["statistics"] if self.stored else statistics(self.tokens, self.by)
 
     def met(self, wanted: DataFrame, terms: list[str] | None) -> DataFrame:
-        """by..., id, len, pos and the columns of wanted. Stored postings are sorted by term, so that given terms skip the rest."""
+        """by..., id, len, pos and the columns of wanted. Stored segments are sorted by term, so that given terms skip the rest."""
         if self.stored:
+            from siltstone.operators import best_hits
+
             own = self.stored["postings"] if terms is None else self.stored["postings"].where(F.col("term").isin(terms))
-            return own.join(wanted, "term").select(*self.by, "id", "len", F.explode("positions").alias("pos"), *[c for c in wanted.columns if c != "term"])
+            placed = best_hits.posted(own).join(wanted, "term").join(best_hits.documents(self.stored["postings"]), ["segment", "doc"])
+            return placed.select("id", "len", "pos", *[c for c in wanted.columns if c != "term"])
         places = self.tokens.select(*self.by, "id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term"))
         return places.join(wanted, "term")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.embed import Embedder, get_embedder
 from siltstone.operators import archive, best_hits, fusion, keyword, records, semantic
-from siltstone.session import cut_lineage
+from siltstone.session import broadcast_if_small, cut_lineage
 from siltstone.sources import store
 
 KEY = "chunk_row_id"
@@ -24,19 +24,24 @@ def file_table(archives: DataFrame) -> DataFrame:
 
 
 def build_index(spark: SparkSession, root: str, archives: DataFrame, chunks: DataFrame, model: str = "hashing-sha256", fields: list[str] | None = None) -> str:
-    """Write the index snapshot: files, chunks with their place in the archive, postings sorted by term, vocabulary,
-    statistics, one vector for each chunk, and the settings that an update uses again."""
+    """Write the index snapshot: files, chunks, their places in the archives, postings in segments sorted by term,
+    vocabulary, statistics, one vector for each chunk, and the settings that an update uses again.
+
+    Texts are only shuffled if the archives are too many to be broadcast; all that follows is made in place from the
+    stored chunks.
+    """
     name = F.get_json_object("archive_metadata", "$.source_filename")
-    rows = chunks.join(archives.select("archive_id", name.alias("source_filename"), "embedding_model"), "archive_id")
-    rows = cut_lineage(fusion.with_position(rows, "archive_id", "seq", KEY))
+    rows = chunks.join(broadcast_if_small(archives.select("archive_id", name.alias("source_filename"), "embedding_model")), "archive_id")
     fields = fields or FIELDS
-    tokens = cut_lineage(keyword.token_table(rows, KEY, fields, []))
-    posted = cut_lineage(keyword.postings(tokens, []))
-    vectors = semantic.sparse_vectors(rows.select(F.col(KEY).alias("id"), "text"), "id", get_embedder(model)).join(rows.select(F.col(KEY).alias("id"), "embedding_model"), "id")
-    settings = spark.createDataFrame([(model, ",".join(fields))], "model string, fields string")
+    stored = lambda at: spark.read.schema(rows.schema).parquet(f"{at}/chunks")
+    postings = lambda at: spark.read.schema(best_hits.POSTINGS).parquet(f"{at}/postings")
     tables = {
-        "files": file_table(archives), "chunks": rows, "vectors": vectors, "settings": settings, "statistics": keyword.statistics(tokens, []),
-        "vocabulary": posted.groupBy("term").agg(F.count("*").alias("df")), "postings": posted.repartitionByRange("term").sortWithinPartitions("term"),
+        "files": file_table(archives), "chunks": rows, "places": lambda at: fusion.with_position(stored(at).select(KEY, "archive_id", "seq"), "archive_id", "seq", KEY).select(KEY, "pos"),
+        "settings": spark.createDataFrame([(model, ",".join(fields))], "model string, fields string"),
+        "vectors": lambda at: semantic.sparse_vectors(stored(at).select(F.col(KEY).alias("id"), "text", "embedding_model"), "id", get_embedder(model), ["embedding_model"]),
+        "postings": lambda at: best_hits.stored_postings(keyword.token_table(stored(at), KEY, fields, [])),
+        "vocabulary": lambda at: postings(at).where(F.col("term") != best_hits.DOCUMENTS).groupBy("term").agg(F.sum("n").alias("df")),
+        "statistics": lambda at: best_hits.documents(postings(at)).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")),
     }
     return store.publish(spark, root, tables, partition_by={"chunks": ["embedding_model"], "vectors": ["embedding_model"]})
 
@@ -77,8 +82,10 @@ class Corpus:
         """Open the current index of a library; an error if it is stale against `archives`."""
         if archives is not None and not index_status(spark, root, archives).isEmpty():
             raise RuntimeError("the index is stale")
-        tables = {t: store.read(spark, root, t) for t in ("files", "chunks", "vectors", "settings", "statistics", "vocabulary", "postings")}
-        return cls(tables["files"], tables["chunks"], get_embedder(tables["settings"].first().model), tables)
+        tables = {t: store.read(spark, root, t) for t in ("files", "chunks", "places", "vectors", "settings", "statistics", "vocabulary", "postings")}
+        plain = tables["chunks"]
+        tables["chunks"] = plain.join(tables.pop("places"), KEY)
+        return cls(tables["files"], plain, get_embedder(tables["settings"].first().model), tables)
 
     def keyword(self, queries: DataFrame) -> DataFrame:
         """query_id, id, score of every hit; over all fields with an index, over the text without."""
@@ -87,7 +94,7 @@ class Corpus:
 
     def keyword_top(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, id, rank, score of the k best."""
-        return fusion.top_k(self.keyword(queries), k, ["query_id"], ["id"]) if self.index else best_hits.best_hits(self.chunks, queries, KEY, k)
+        return best_hits.stored_hits(self.index["postings"], self.index["vocabulary"], queries, k) if self.index else best_hits.best_hits(self.chunks, queries, KEY, k)
 
     def vectors(self) -> DataFrame:
         return self.index["vectors"].select("id", "buckets", "amounts") if self.index else semantic.sparse_vectors(self.chunks.select(F.col(KEY).alias("id"), "text"), "id", self.embedder)
@@ -120,7 +127,8 @@ class Corpus:
 
     def hydrate(self, hits: DataFrame, columns: list[str]) -> DataFrame:
         """Texts and metadata, for the hits alone."""
-        return hits.join(self.chunks.select(F.col(KEY).alias("id"), *columns), "id")
+        chunks = self.index["chunks"] if self.index and "pos" in columns else self.chunks
+        return hits.join(chunks.select(F.col(KEY).alias("id"), *columns), "id")
 
 
 def summary(archives: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,17 @@ def current(spark: SparkSession, root: str) -> str | None:
     return f"{root}/{name}"
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], overwrite: bool = True, partition_by: dict[str, list[str]] | None = None) -> str:
-    """Write all tables into a new snapshot, then point to it: readers see the old tables or all new ones."""
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[str], DataFrame]], overwrite: bool = True, partition_by: dict[str, list[str]] | None = None) -> str:
+    """Write all tables into a new snapshot, then point to it: readers see the old tables or all new ones.
+
+    A table may be a function of the snapshot's folder, which has the tables before it by then.
+    """
     if not overwrite and current(spark, root):
         raise FileExistsError(root)
     name = f"snapshot-{uuid.uuid4().hex}"
     for table, df in tables.items():
-        df.write.partitionBy(*(partition_by or {}).get(table, [])).parquet(f"{root}/{name}/{table}")
+        df = df(f"{root}/{name}") if callable(df) else df
+        df.write.option("compression", "zstd").partitionBy(*(partition_by or {}).get(table, [])).parquet(f"{root}/{name}/{table}")
     fs, staged = _fs(spark, f"{root}/.{name}.json")
     out = fs.create(staged, True)
     try:

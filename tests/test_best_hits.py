@@ -104,3 +104,35 @@ def test_vectors_in_place_like_shuffled_ones(spark, monkeypatch):
         own = made()
         monkeypatch.setattr(semantic, "MOST_WORDS", 1)
         assert own == made() and len(own) > 380
+
+
+@pytest.mark.parametrize(("segment", "most_terms"), [(16384, 1000), (60, 3)])
+def test_stored_hits_like_all_scores(spark, monkeypatch, tmp_path, segment, most_terms):
+    monkeypatch.setattr(best_hits, "SEGMENT", segment)
+    monkeypatch.setattr(best_hits, "SLICE", min(segment // 3, best_hits.SLICE))
+    monkeypatch.setattr(best_hits, "MOST_TERMS", most_terms)
+    docs = chunks(spark).withColumn("heading", F.when(F.col("id") % 4 == 0, F.lit("Outlet hearing")))
+    every = keyword.keyword_scores(docs, cases(spark), "id", ["text", "heading"]).withColumn("score", F.round("score", 9))
+    wanted = plain(fusion.top_k(every, 5, ["query_id"], ["id"]), "query_id", "id")
+    assert len({r[0] for r in wanted}) > 8
+    best_hits.stored_postings(keyword.token_table(docs, "id", ["text", "heading"], [])).write.parquet(str(tmp_path / "p"))
+    postings = spark.read.parquet(str(tmp_path / "p"))
+    assert (postings.where("term = ''").count() > 6) == (segment == 60)
+    words = postings.where("term <> ''").select("term").distinct()
+    assert plain(best_hits.stored_hits(postings, words, cases(spark), 5), "query_id", "id") == wanted
+    assert best_hits.stored_hits(postings.limit(0), words.limit(0), cases(spark), 5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["stored_index_keyword", "stored_index_hybrid"])
+def test_stored_index_writes_little(spark, tmp_path, name):
+    """Neither building the index nor searching it writes more than the index and the best hits; all chunks are hits."""
+    from siltstone.plans import catalogue
+
+    rows = chunks(spark, 12000).select(F.col("id").alias("chunk_row_id"), "archive_id", F.col("id").alias("seq"), F.concat_ws(" ", "text", F.lit("basin")).alias("text"), F.lit("A > B").alias("heading_path"))
+    d = str(tmp_path / "in")
+    rows.write.parquet(f"{d}/ingest_chunks.parquet")
+    archives = rows.select("archive_id", F.col("archive_id").alias("relative_path"), F.lit("m").alias("embedding_model"), F.lit(4).alias("embedding_dimension"), F.lit('{"source_filename": "x.pdf"}').alias("archive_metadata")).distinct()
+    archives.write.parquet(f"{d}/archives.parquet")
+    cases(spark, [f"basin {w}" for w in WORDS] * 4 + [f"basi, {w}" for w in WORDS] * 4).coalesce(1).write.parquet(f"{d}/query_cases.parquet")
+    size = rows.agg(F.sum(F.length("text"))).first()[0]
+    assert written(spark, tmp_path / "checkpoints", lambda: catalogue.QUERIES[name](spark, d)) < size
