@@ -96,6 +96,20 @@ def _blocks(rows: DataFrame) -> Iterator[list]:
         yield block
 
 
+def _without_zeros(m: np.ndarray) -> tuple[tuple[int, int], np.ndarray | None, np.ndarray]:
+    """Shape, places and values of a matrix, without zeros if that is smaller: every executor keeps a copy on its disk."""
+    at = np.flatnonzero(m)
+    return (m.shape, at.astype(np.int32), m.ravel()[at]) if 2 * len(at) < m.size else (m.shape, None, m)
+
+
+def _with_zeros(shape: tuple[int, int], at: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    if at is None:
+        return values
+    m = np.zeros(shape)
+    m.ravel()[at] = values
+    return m
+
+
 def best_products(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, matrix, shared_only: bool, tie: str | None = None) -> DataFrame:
     """query_id, id, rank, score (9 decimals): the k best cosines of every query over all vectors. Ties go by the string
     column `tie`, if one is named, then by id.
@@ -107,10 +121,10 @@ def best_products(vectors: DataFrame, queries: DataFrame, k: int, dimension: int
     spark, parts = vectors.sparkSession, []
     for block in _blocks(queries):
         frame = pd.DataFrame([r.asDict() for r in block])
-        shared = spark.sparkContext.broadcast((frame["query_id"].to_numpy(), matrix(frame, dimension)))
+        shared = spark.sparkContext.broadcast((frame["query_id"].to_numpy(), *_without_zeros(matrix(frame, dimension))))
 
         def multiply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
+            ids, q = shared.value[0], _with_zeros(*shared.value[1:])
             kept: list[tuple[np.ndarray, ...]] = [(np.empty(0), np.empty(0, dtype="int64"), np.empty(0, dtype=str))] * len(ids)
             known = (q != 0).astype("float32")
             for pdf in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import values
 from siltstone.operators import archive, fusion, keyword, retrieval, semantic
 from siltstone.plans import library
-from siltstone.session import broadcast_if_small
+from siltstone.session import CLEANUP, broadcast_if_small, cut_lineage, shuffles_released
 from siltstone.streaming import ingest
 
 
@@ -100,3 +100,28 @@ def test_stream_merges(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         ingest.merge_stream(spark, source, spark.createDataFrame([], schema).schema, root, ["id"], "version", [], str(tmp_path / "log")).awaitTermination()
     assert sorted(map(tuple, ingest.records(spark, root).collect())) == [(1, "a", 1), (2, "c", 3), (3, "d", 1)]
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_at_once(spark):
+    before, set_before = _shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    got = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    with shuffles_released(spark):
+        rows = spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count()
+    assert len(rows.collect()) == 5 and _shuffle_files(spark) <= before
+    assert {r.k: r["count"] for r in got.collect()} == {k: 1000 // 7 + (k < 1000 % 7) for k in range(7)}
+    assert spark.conf.get(CLEANUP, None) == set_before
+
+
+@pytest.mark.parametrize("density", [0.0, 0.02, 0.9])
+def test_query_matrix_is_sent_small(density):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(50, 384)) * (rng.random((50, 384)) < density)
+    sent = semantic._without_zeros(m)
+    assert np.array_equal(semantic._with_zeros(*sent), m)
+    assert sum(x.nbytes for x in sent[1:] if x is not None) <= m.nbytes
+    assert density > 0.5 or sum(x.nbytes for x in sent[1:]) < m.nbytes / 20
