@@ -45,8 +45,9 @@ from siltstone.session import cut_lineage
 
 SHINGLE, THRESHOLD, SKETCH, MARGIN = 5, 0.8, 96, 0.25
 PAIR_RUNS, WHOLE_RUNS, SHARED, SALT = 24, 48, 2, 1024
-#: Bits of a list key; texts that are packed together; entries a task meets at once; bits of a set of ids and of a map of them.
-KEY_BITS, MOST_PLACES, BUCKET_ENTRIES, ID_BITS, MAP_BITS = 48, 65536, 2**20, 2**26, 2**15
+#: Bits of a list key; texts that are packed together; entries a task meets at once; bits of a set of ids at most, of a map
+#: of them, and for each id.
+KEY_BITS, MOST_PLACES, BUCKET_ENTRIES, ID_BITS, MAP_BITS, SPARSE = 48, 65536, 2**20, 2**26, 2**15, 64
 
 
 def words(text: Column) -> Column:
@@ -124,15 +125,24 @@ def _keys_of(values: np.ndarray, sizes: np.ndarray, n: np.ndarray, threshold: fl
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    """Bytes column by column, entropy-coded, which the codec of shuffles may not do."""
+    return pa.compress(rows.T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(body: bytes, count: int, width: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body, decompressed_size=count * width, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, count).T
+
+
 def _planes(numbers: np.ndarray, width: int) -> bytes:
     """Numbers as differences, byte by byte: the upper bytes of neighbours are alike and cost little once compressed."""
     steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return _squeezed(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
 def _from_planes(body: bytes, count: int, width: int) -> np.ndarray:
     steps = np.zeros((count, 8), dtype=np.uint8)
-    steps[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(width, count).T
+    steps[:, :width] = _unsqueezed(body, count, width)
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -159,7 +169,7 @@ def packed_entries(rows: DataFrame, threshold: float, buckets: int) -> DataFrame
             for b in np.flatnonzero(np.diff(at)):
                 own, known = doc[at[b] : at[b + 1]], key[at[b] : at[b + 1]]
                 used, where = np.unique(own, return_inverse=True)
-                bodies = [_planes(known, 8), where.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), _planes(ids[used].view(np.uint64), 8)]
+                bodies = [_planes(known, 8), _squeezed(where.astype("<u2").view(np.uint8).reshape(-1, 2)), _planes(ids[used].view(np.uint64), 8)]
                 yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip([b, len(known), len(used), *bodies], [pa.int32()] * 3 + [pa.binary()] * 3)], names=["bucket", "entries", "texts", "keys", "places", "ids"])
 
         for b in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
@@ -183,7 +193,7 @@ def shared_keys(rows: DataFrame, threshold: float) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for r in (r for b in batches for r in b.to_pylist()):
-            places = np.frombuffer(r["places"], dtype=np.uint8).reshape(2, r["entries"]).T.copy().view("<u2").ravel()
+            places = _unsqueezed(r["places"], r["entries"], 2).copy().view("<u2").ravel()
             by_bucket.setdefault(r["bucket"], []).append((_from_planes(r["keys"], r["entries"], 8), _from_planes(r["ids"], r["texts"], 8).view(np.int64)[places]))
         for parts in by_bucket.values():
             key, ids = (np.concatenate(x) for x in zip(*parts))
@@ -226,10 +236,15 @@ def candidate_pairs(rows: DataFrame, members: DataFrame, threshold: float, k: in
     return counted.where("common >= enough").select("class_a", "class_b")
 
 
-def _likely_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id has its bit in a bitmap of `ids`, at most ID_BITS bits large: all of them and some others, so that a
-    join needs to shuffle few rows in vain."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+def map_bits(most_ids: int) -> int:
+    """Bits of a map of so many ids: SPARSE for each, in whole parts of the map, ID_BITS at most."""
+    return min(ID_BITS, max(MAP_BITS, 1 << (most_ids * SPARSE - 1).bit_length())) if most_ids else MAP_BITS
+
+
+def _likely_ids(df: DataFrame, ids: DataFrame, most_ids: int) -> DataFrame:
+    """Rows whose id has its bit in a bitmap of the at most so many `ids`: all of them and some others, so that a
+    join needs to shuffle few rows in vain. Every executor keeps a copy of the map on its disk, so it is as small as that needs."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(map_bits(most_ids)))
     maps = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / MAP_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("bit") % MAP_BITS).alias("m"))
     shared = df.sparkSession.sparkContext.broadcast({r.b: np.frombuffer(bytes(r.m), dtype=np.uint8) for r in maps.toLocalIterator()})
 
@@ -252,7 +267,7 @@ def similar_classes(df: DataFrame, id_column: str, rows: DataFrame, members: Dat
         raise ValueError("the bounds of the inverted lists hold from a similarity of 0.6 on")
     pairs = cut_lineage(candidate_pairs(rows, members, threshold, k))
     ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
-    texts = _met(_likely_ids(df.select(F.col(id_column).alias("id"), "text"), ends), ends, ["id"], "left_semi")
+    texts = _met(_likely_ids(df.select(F.col(id_column).alias("id"), "text"), ends, 2 * pairs.count()), ends, ["id"], "left_semi")
     whole = cut_lineage(_tokens(texts, "id").select("id", shingle_hashes(F.col("tokens"), shingle).alias("shingles")))
     side = lambda s, n=None: whole.select(F.col("id").alias(f"class_{s}"), (F.slice("shingles", 1, n) if n else F.col("shingles")).alias(f"values_{s}"))
     both = _met(_met(pairs, side("a", k), ["class_a"]), side("b", k), ["class_b"])

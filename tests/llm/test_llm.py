@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -276,3 +277,17 @@ def _shuffled(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, empty, jvm.java.util.ArrayList())
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicates_packed_small():
+    """The map of candidates is as large as their number needs, list entries take little more than their entropy."""
+    assert near_duplicates.map_bits(0) == near_duplicates.map_bits(10) == near_duplicates.MAP_BITS and near_duplicates.map_bits(10**9) == near_duplicates.ID_BITS
+    for n in (1000, 20_000, 123_456):
+        bits = near_duplicates.map_bits(n)
+        assert near_duplicates.SPARSE * n <= bits < 2 * near_duplicates.SPARSE * n and bits % near_duplicates.MAP_BITS == 0
+    keys = np.sort(np.random.default_rng(4).integers(0, 2**48, 200_000).astype(np.uint64))
+    body = near_duplicates._planes(keys, 8)
+    assert len(body) < 4.3 * len(keys) and np.array_equal(near_duplicates._from_planes(body, len(keys), 8), keys)
+    places = np.random.default_rng(4).integers(0, 5000, 50_000).astype("<u2").view(np.uint8).reshape(-1, 2)
+    body = near_duplicates._squeezed(places)
+    assert len(body) < 1.75 * len(places) and np.array_equal(near_duplicates._unsqueezed(body, len(places), 2), places)
