@@ -199,19 +199,20 @@ def _edges(texts: DataFrame, bad: DataFrame, archives: DataFrame, with_lines: bo
     paired = F.zip_with(split, keys, lambda l, k: F.struct(F.trim(l).alias("line"), k.alias("key")))
     of_site = lambda e: F.coalesce(F.array_contains(F.col("bad"), F.xxhash64(e["key"])), F.lit(False))
     lines = F.filter(paired, lambda e: (e["line"] != "") & ~of_site(e))
-    placed = owned.select("record_kind", "row_id", "archive_id", "page_number", lines.alias("lines")).withColumn("n_lines", F.size("lines"))
-    ends = F.when(F.col("n_lines") <= 2 * EDGE, F.col("lines")).otherwise(F.concat(F.slice("lines", 1, EDGE), F.slice("lines", -EDGE, EDGE)))
-    edges = placed.where("n_lines > 0").select("record_kind", "row_id", "archive_id", "page_number", "n_lines", ends.alias("ends"))
-    edges = edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", F.size("ends").alias("n"), F.posexplode("ends").alias("i", "e"))
+    # Lines are made once, inside the array that is exploded: a filter on what it gives can't be pushed below, where it would
+    # repeat them.
+    ends = lambda x: F.when(F.size(x) <= 2 * EDGE, x).otherwise(F.concat(F.slice(x, 1, EDGE), F.slice(x, -EDGE, EDGE)))
+    n_ends = lambda x: F.least(F.size(x), F.lit(2 * EDGE))
+    placed = lambda x: F.transform(ends(x), lambda e, i: F.struct(F.size(x).alias("n_lines"), F.least(i, n_ends(x) - 1 - i).alias("depth"), e["line"].alias("line"), e["key"].alias("key")))
+    edges = owned.select("record_kind", "row_id", "archive_id", "page_number", F.explode(F.flatten(F.transform(F.array(lines), placed))).alias("e"))
     line = F.col("e.line")
     edges = edges.withColumn("like", line.rlike(LABEL_LIKE)).where(~F.contains(line, F.lit("|")) & (F.col("like") | (F.length("e.key") >= 8)))
-    edges = edges.withColumn("p", _parsed(F.when(F.col("like"), line)))
+    edges = edges.withColumn("p", _parsed.asNondeterministic()(F.when(F.col("like"), line)))  # else a filter would repeat it
     plain = F.col("p.form").isNull()
     own = F.when(plain, F.upper("e.key")).otherwise(head_key(F.col("p.head")))
     head = F.when(plain, line).otherwise(F.col("p.head"))
     key = F.when((F.length(own) >= 8) & own.rlike(r"(?:\p{N}*+\p{L}){8}"), own)
-    depth = F.least(F.col("i"), F.col("n") - 1 - F.col("i")).alias("depth")
-    out = edges.select("record_kind", "row_id", "archive_id", "page_number", "n_lines", depth, key.alias("key"), (F.upper(head) == head).alias("capitals"), "p.form", "p.number", "p.misread", (F.length(F.col("p.head")) > 0).alias("on_head"), *([line.alias("line")] if with_lines else []))
+    out = edges.select("record_kind", "row_id", "archive_id", "page_number", "e.n_lines", "e.depth", key.alias("key"), (F.upper(head) == head).alias("capitals"), "p.form", "p.number", "p.misread", (F.length(F.col("p.head")) > 0).alias("on_head"), *([line.alias("line")] if with_lines else []))
     return out.where("key is not null or form is not null")
 
 

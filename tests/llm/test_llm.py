@@ -291,3 +291,17 @@ def test_near_duplicates_packed_small():
     places = np.random.default_rng(4).integers(0, 5000, 50_000).astype("<u2").view(np.uint8).reshape(-1, 2)
     body = near_duplicates._squeezed(places)
     assert len(body) < 1.75 * len(places) and np.array_equal(near_duplicates._unsqueezed(body, len(places), 2), places)
+
+
+def test_edges_are_made_once(spark):
+    """Neither a text's lines nor the parser of labels are repeated by filters above them; edges are as defined."""
+    archives = spark.createDataFrame([("a", "s")], "archive_id string, site string")
+    lines = ["Zoning Manual Page One", "", "Site line that goes", *(f"body text number {i}" for i in range(9)), "  ", "Page 12"]
+    texts = spark.createDataFrame([("page", 1, "a", 12, "\n".join(lines)), ("page", 2, "a", 13, "\n\n"), ("block", 3, "b", 13, "Page 13"), ("page", 4, "a", 14, None)], "record_kind string, row_id bigint, archive_id string, page_number int, text string")
+    bad = spark.createDataFrame([("s",)], "site string").select("site", F.array(F.xxhash64(F.lit("sitelinethatgoes"))).alias("bad"))
+    edges = scan_noise._edges(texts, F.broadcast(bad), archives, True)
+    found = {(r.row_id, r.n_lines, r.depth, r.line, r.form, r.number) for r in edges.collect()}
+    body = [(1, 11, d, f"body text number {i}", None, None) for d, i in ((1, 0), (2, 1), (2, 7), (1, 8))]
+    assert found == {(1, 11, 0, lines[0], None, None), *body, (1, 11, 0, "Page 12", "page", 12), (3, 1, 0, "Page 13", "page", 13)}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(") == 1 and plan.count("ArrowEvalPython") == 1
